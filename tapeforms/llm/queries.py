@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeforms.llm import bpe, embed_dedup, line_dedup, quality, simhash
+from tapeforms.llm import bpe, embed_dedup, line_dedup, quality, shared, simhash, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +26,13 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store is written to a new folder below the shared one, and read back from there."""
+    folder = f"{shared.shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    token_store.write(_table(spark, sf_dir, "documents"), folder, tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return token_store.read_documents(spark, folder)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its text after line dedup, and how many of its lines went."""
     return line_dedup.with_lines_dropped(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -48,6 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
+        "op4_token_store": op4_token_store,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
