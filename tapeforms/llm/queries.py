@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeforms.llm import bpe, embed_dedup, line_dedup, quality, shared, simhash, token_store
+from tapeforms.llm import bpe, chat, embed_dedup, line_dedup, mixing, quality, shared, simhash, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,32 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_documents(spark, folder)
 
 
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted(_table(spark, sf_dir, "conversations"))
+
+
+OP6_SQL = """
+WITH placed AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM conversations
+), hashed AS (
+  SELECT conv_id, k, role, text, string_agg(md5(role) || md5(text), '' ORDER BY k) OVER (PARTITION BY conv_id ORDER BY k) AS p,
+         count(*) OVER (PARTITION BY conv_id) AS n FROM placed
+), whole AS (
+  SELECT conv_id, n, p FROM hashed WHERE k = n
+), own AS (
+  SELECT p, min(conv_id) AS conv_id, count(*) AS n_copies FROM whole
+  WHERE p NOT IN (SELECT p FROM hashed WHERE k < n) GROUP BY p
+)
+SELECT o.conv_id, max(h.n)::BIGINT AS n_turns, max(o.n_copies)::BIGINT AS n_copies,
+       string_agg('<|im_start|>' || replace(h.role, '<|im_', '< |im_') || chr(10) || replace(h.text, '<|im_', '< |im_') || '<|im_end|>' || chr(10), '' ORDER BY h.k) AS text
+FROM own o JOIN hashed h USING (conv_id) GROUP BY o.conv_id
+"""
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with its text after line dedup, and how many of its lines went."""
     return line_dedup.with_lines_dropped(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -43,6 +69,46 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.FIGURES, "base_failed", "kept")
 
 
+def _op8_sql() -> str:
+    stops = ", ".join("'" + v + mark + "'" for w in quality.STOP_WORDS for v in sorted({w, w.capitalize()}) for mark in ("", ",", "."))
+    return rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS l
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS x FROM split, unnest(generate_series(1, greatest(len(w) - 7, 0))) AS u(i)
+), twice AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM windows
+), covered AS (
+  SELECT doc_id, least(8, i - coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -100)) AS n FROM twice WHERE c > 1
+), repeats AS (
+  SELECT doc_id, sum(n)::BIGINT AS n_repeat_words FROM covered GROUP BY doc_id
+), base AS (
+  SELECT s.doc_id, w, l, t, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM split s LEFT JOIN repeats r ON s.doc_id = r.doc_id
+), ratios AS (
+  SELECT *, greatest(n_words, 1) AS nw, greatest(len(l), 1) AS nl, greatest(word_chars, 1) AS nc FROM base
+), verdict AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    word_chars / nw < 2 OR word_chars / nw > 14 OR n_symbols / nw > 0.1
+    OR len(list_filter(w, lambda x: x IN ({stops}))) / nw < 0.06
+    OR len(regexp_extract_all(t, '\p{{Lu}}')) / nc > 0.4
+    OR n_dup_lines / nl > 0.5 OR n_repeat_words / nw > 0.3
+    OR len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) / nw > 0.2
+    OR len(list_filter(l, lambda x: regexp_matches(ltrim(x, ' '), '^[-*•·]'))) / nl > 0.9
+    OR len(list_filter(l, lambda x: rtrim(x, ' ') LIKE '%...' OR rtrim(x, ' ') LIKE '%…')) / nl > 0.3 AS bad
+  FROM ratios
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT bad AS kept FROM verdict
+"""
+
+
+OP8_SQL = _op8_sql()
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +123,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
         "op4_token_store": op4_token_store,
+        "op5_source_mix": op5_source_mix,
+        "op6_chat_format": op6_chat_format,
         "op7_line_dedup": op7_line_dedup,
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
@@ -65,4 +133,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat_format": OP6_SQL, "op8_quality_rules": OP8_SQL}
