@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeforms.llm import bpe, chat, embed_dedup, line_dedup, mixing, quality, shared, simhash, token_store
+from tapeforms.llm import bpe, chat, embed_dedup, html_extract, line_dedup, mixing, quality, shared, simhash, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_extract.extracted(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archives are written to a new folder below the shared one, and read back from there."""
+    folder = f"{shared.shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.archive(_table(spark, sf_dir, "pages"), folder)
+    return warc.archived_pages(spark, folder)
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store is written to a new folder below the shared one, and read back from there."""
     folder = f"{shared.shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
@@ -73,8 +85,10 @@ def _op8_sql() -> str:
     stops = ", ".join("'" + v + mark + "'" for w in quality.STOP_WORDS for v in sorted({w, w.capitalize()}) for mark in ("", ",", "."))
     return rf"""
 WITH split AS (
-  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ 	-]')) AS l
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^ 	-
+]')) AS l
   FROM documents
 ), windows AS (
   SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS x FROM split, unnest(generate_series(1, greatest(len(w) - 7, 0))) AS u(i)
@@ -122,6 +136,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
+        "op2_html_main_text": op2_html_main_text,
+        "op3_warc": op3_warc,
         "op4_token_store": op4_token_store,
         "op5_source_mix": op5_source_mix,
         "op6_chat_format": op6_chat_format,
