@@ -228,8 +228,8 @@ def decoded(ids: DataFrame, path: str, pattern: str, id_col: str = "doc_id") ->
     return ids.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {kind}, data binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id_col, n_tokens, ids_sha256, decoded_sha256) for each row: texts encoded, and the ids decoded again."""
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(id_col, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row: texts encoded, and the ids decoded again."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,8 +239,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             for t in batch.column(1):
                 ids = own.text(t.as_py() or "")
                 data = own.decode(np.frombuffer(ids, dtype="<u4"))
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest()))
-            n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest(), ids if with_ids else None))
+            n, a, b, ids = zip(*rows, strict=True) if rows else ((), (), (), ())
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns[: 4 + with_ids], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
 
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)
