@@ -1 +1 @@
-
+"""Operators over bars: sessions, windows, neighbours, signals, backtest, baselines, ledger, journal."""

@@ -1 +1 @@
-
+"""Settings and the catalog of queries."""

@@ -1 +1 @@
-
+"""Structured Streaming of closed bars."""
