@@ -23,8 +23,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tapeforms.llm import shared
+from tapeforms.llm.quality import let
 
 SHINGLE = 7
 SIMILARITY = 0.8
@@ -33,6 +35,7 @@ ROWS = 4
 MIN_CHARS = 20
 #: Lines of a bucket that one task takes; larger buckets are dealt into chunks of about this size.
 BLOCK = 256
+BITMAP = 4096
 
 
 def normal(line: str) -> str:
@@ -51,29 +54,32 @@ def alike(a: set[str], b: set[str], similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """(lines, bands) hashes of MinHash bands, of lines of at least k characters."""
+def shingle_hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the shingles of lines of at least k characters, one line after another, and where each line's begin."""
     one = np.uint64(0x9E3779B97F4A7C15)
-    points = np.frombuffer("".join(lines).encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    h, width = points, 1
-    while width < k:  # the polynomial hash of width characters, from two overlapping halves
+    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    width = 1
+    while width < k:  # the polynomial hash of width characters, from two overlapping parts
         step = min(width, k - width)
         h = h[: len(h) - step] * (one + np.uint64(2 * width)) + h[step:]
         width += step
-    lengths = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
-    first = np.cumsum(lengths) - lengths
-    inside = np.ones(len(points) + 1, dtype=np.int8)
-    counts = lengths - k + 1
+    counts = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines)) - (k - 1)
     inside = np.repeat(np.tile([True, False], len(lines)), np.stack([counts, np.full(len(lines), k - 1)], axis=1).ravel())[: len(h)]
     h = h[inside]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
+    return h, np.cumsum(counts) - counts
+
+
+def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """(lines, bands) hashes of MinHash bands, of lines of at least k characters."""
+    h, starts = shingle_hashes(lines, k)
     base = (h >> np.uint64(32)).astype(np.uint32)
-    starts = np.cumsum(counts) - counts
     random = np.random.default_rng(7)
-    keys = np.empty((len(first), bands), dtype=np.uint64)
+    one = np.uint64(0x9E3779B97F4A7C15)
+    keys = np.empty((len(lines), bands), dtype=np.uint64)
     for b in range(bands):
-        key = np.full(len(first), b + 1, dtype=np.uint64)
+        key = np.full(len(lines), b + 1, dtype=np.uint64)
         for _ in range(rows):
             mask, factor = random.integers(1 << 32, dtype=np.uint32), random.integers(1 << 31, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
             least = np.minimum.reduceat((base ^ mask) * factor, starts)
@@ -83,6 +89,18 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
     return keys
 
 
+def bitmaps(lines: list[str], k: int = SHINGLE) -> list[int]:
+    """A bitmap of each line's shingles. Bits in which two differ are shingles that only one has: a lower bound, for a quick no."""
+    h, starts = shingle_hashes(lines, k)
+    at = (h >> np.uint64(20)).astype(np.int64) & (BITMAP - 1)
+    out = []
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
+        bits = np.zeros(BITMAP, dtype=bool)
+        bits[at[a:b]] = True
+        out.append(int.from_bytes(np.packbits(bits).tobytes(), "big"))
+    return out
+
+
 def _worded(text: str | None, min_chars: int) -> Iterator[tuple[int, str]]:
     for number, line in enumerate(text.split("\n") if text else ()):
         line = normal(line)
@@ -162,20 +180,28 @@ def verified(members: DataFrame, k: int, similarity: float, block: int) -> DataF
             text = table.column("text").to_pylist()
             place = {x: i for i, x in reversed(list(enumerate(h)))}
             forest = shared.Forest(len(h))
+            rows = list(place.values())
+            line = {i: normal(text[i]) for i in rows}
+            bits = dict(zip(rows, bitmaps(list(line.values()), k), strict=True))
+            size = {i: len(x) - k + 1 for i, x in line.items()}  # of shingles, repeats counted
             sets: dict[int, set[str]] = {}
+            slack = (1 - similarity) / (1 + similarity)
+
+            def linked(i: int, j: int) -> bool:
+                if (bits[i] ^ bits[j]).bit_count() > slack * (size[i] + size[j]):
+                    return False
+                return alike(*(sets.get(x) or sets.setdefault(x, shingles(line[x], k)) for x in (i, j)), similarity)
+
             starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))).tolist()
             for lo, hi in zip(starts, [*starts[1:], len(h)], strict=True):
                 clusters: dict[int, list[int]] = {}
                 for i in dict.fromkeys(place[x] for x in h[lo:hi]):
-                    mine = sets.setdefault(i, shingles(normal(text[i]), k))
                     met = [forest.find(i)]
                     for root, others in clusters.items():
-                        if forest.find(root) == forest.find(i) or any(alike(mine, sets[j], similarity) and forest.join(i, j) for j in others):
+                        if forest.find(root) == forest.find(i) or any(linked(i, j) and forest.join(i, j) for j in others):
                             met.append(root)
                     joined = [x for root in met for x in clusters.pop(root, ())]
                     clusters[forest.find(i)] = [*joined, i]
-                if len(sets) > 20_000:
-                    sets.clear()
             if forest.edges:
                 yield pa.RecordBatch.from_arrays([pa.array([h[e[s]] for e in forest.edges], pa.int64()) for s in (0, 1)], names=["u", "v"])
 
@@ -192,14 +218,15 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
     lines = shared.cut(occurrences(docs, id_col, text, min_chars))
     # Buckets of two lines and more; of buckets with the same lines one is enough.
     bucketed = banded(docs, text, k, bands, rows, min_chars).repartition(n, "key").dropDuplicates(["key", "h"])
-    shape = bucketed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.shiftright("h", 24)).alias("s")).where("n > 1")
-    chosen = shape.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
-    members = shared.cut(bucketed.join(chosen, "key"))
+    bucket = W.partitionBy("key")
+    shaped = shared.cut(bucketed.withColumns({"n": F.count(F.lit(1)).over(bucket), "x": F.bit_xor("h").over(bucket), "s": F.sum(F.shiftright("h", 24)).over(bucket)}).where("n > 1"))
+    chosen = shaped.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
+    members = shared.cut(shaped.select("key", "h").join(chosen, "key"))
     wanted = shared.cut(members.select("h").distinct())
     firsts = shared.sized_join(lines, wanted, ["h"], "left_semi", 16).groupBy("h").agg(F.min(first_place(id_col)).alias("p"))
     places = shared.cut(firsts.groupBy(F.col("p.k").alias("_k"), F.col("p.t").alias("_t")).agg(F.collect_list(F.struct("h", F.col("p.l").alias("l"))).alias("_at")))
     holders = shared.sized_join(keyed(docs, id_col, text).select("_k", "_t", F.col(text).alias("_x")), places, ["_k", "_t"], "inner", 96)
-    texts = holders.select(F.split("_x", "\n").alias("_x"), "_at").select(F.inline(F.transform("_at", lambda p: F.struct(p["h"].alias("h"), F.get(F.col("_x"), p["l"]).alias("text"))))).dropDuplicates(["h"])
+    texts = holders.select(F.inline(let(F.split("_x", "\n"), lambda parts: F.transform("_at", lambda p: F.struct(p["h"].alias("h"), F.get(parts, p["l"]).alias("text")))))).dropDuplicates(["h"])
     groups = shared.components(verified(members.join(texts, "h"), k, similarity, block))
     # Equal lines are one group; groups in one component are one.
     equal = lines.groupBy("h", "g").agg(F.min(first_place(id_col)).alias("p"), F.count(F.lit(1)).alias("n"))
@@ -216,13 +243,11 @@ def with_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """docs with `text` freed of duplicate lines, and the columns n_lines (with a word) and n_dropped."""
     gone = shared.cut(dropped_lines(docs, id_col, text, **how))
     joined = shared.sized_join(keyed(docs, id_col, text), gone.withColumnRenamed("lines", "_gone"), ["_k", "_t"], "left", 96)
-    parts = F.split(text, "\n")
-    staying = F.array_except(F.sequence(F.lit(0), F.size("_parts") - 1), "_gone")
-    freed = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(staying, lambda i: F.get(F.col("_parts"), i)), "\n"))
+    freed = let(F.split(text, "\n"), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i)), "\n"))
+    freed = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(freed)
     others = [F.col(f"`{c}`") for c in docs.columns]
-    out = joined.withColumn("_parts", parts)
-    worded = F.size(F.filter("_parts", lambda x: ~x.rlike(r"^[\x20\x09-\x0D]*$")))
-    return out.select(*(freed.alias(text) if c == text else o for c, o in zip(docs.columns, others, strict=True)), F.coalesce(worded, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
+    worded = F.size(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^[\x20\x09-\x0D]*$")))
+    return joined.select(*(freed.alias(text) if c == text else o for c, o in zip(docs.columns, others, strict=True)), F.coalesce(worded, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:

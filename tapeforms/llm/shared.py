@@ -164,7 +164,8 @@ def components(edges: DataFrame) -> DataFrame:
     what is left, and rounds go on, with other hashes, until no edge is left. Only a minimum is taken over the
     neighbours, so a hub with any number of links needs no memory. Every round is cut to the shared folder.
     """
-    live = cut(edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    once = cut(edges.where("u <> v").select("u", "v"))
+    live = cut(once.union(once.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     labels: DataFrame | None = None
     seed = 0
     while not live.isEmpty():
