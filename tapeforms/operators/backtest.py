@@ -86,14 +86,14 @@ def equity(trades_: DataFrame, indexed: DataFrame, s: Settings, cash: float = 10
     over the table of sessions.
     """
     growth = 1 + s.position_size / F.col("signal_close") * (F.col("exit_price") - F.col("entry_price"))
-    moved = trades_.withColumn("_ln", F.ln(growth))
-    by_session = indexed.select("symbol", "session").distinct().join(moved.groupBy("symbol", "session").agg(F.sum("_ln").alias("_sum")), ["symbol", "session"], "left")
-    before = by_session.select("symbol", "session", F.coalesce(F.sum("_sum").over(W.partitionBy("symbol").orderBy("session").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    moved = trades_.withColumn("_g", growth)
+    by_session = indexed.select("symbol", "session").distinct().join(moved.groupBy("symbol", "session").agg(F.product("_g").alias("_all")), ["symbol", "session"], "left")
+    before = by_session.select("symbol", "session", F.coalesce(F.product("_all").over(W.partitionBy("symbol").orderBy("session").rowsBetween(W.unboundedPreceding, -1)), F.lit(1.0)).alias("_before"))
     inside = W.partitionBy("symbol", "session").orderBy("idx").rowsBetween(W.unboundedPreceding, 0)
-    exits = moved.select("symbol", F.col("exit_idx").alias("idx"), "_ln")
+    exits = moved.select("symbol", F.col("exit_idx").alias("idx"), "_g")
     opened = moved.select("symbol", F.col("entry_idx").alias("idx"), F.struct("exit_idx", "signal_close", "entry_price").alias("_t"))
     rows = indexed.select("symbol", "session", "idx", "ts", "close").join(exits, ["symbol", "idx"], "left").join(opened, ["symbol", "idx"], "left").join(before, ["symbol", "session"])
-    rows = rows.withColumns({"_closed": cash * F.exp(F.col("_before") + F.coalesce(F.sum("_ln").over(inside), F.lit(0.0))), "_t": F.last("_t", ignorenulls=True).over(inside)})
+    rows = rows.withColumns({"_closed": cash * F.col("_before") * F.coalesce(F.product("_g").over(inside), F.lit(1.0)), "_t": F.last("_t", ignorenulls=True).over(inside)})
     held = F.col("_t").isNotNull() & (F.col("idx") < F.col("_t.exit_idx"))
     marked = F.col("_closed") * (1 + s.position_size / F.col("_t.signal_close") * (F.col("close") - F.col("_t.entry_price")))
     return rows.select("symbol", "session", "idx", "ts", F.when(held, marked).otherwise(F.col("_closed")).alias("equity"))

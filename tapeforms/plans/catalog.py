@@ -196,9 +196,9 @@ def _walk_sql(base: str, source: str) -> str:
          o2 / o1 - 1 AS gross_ret, o2 * (1 - {COST}) / (o1 * (1 + {COST})) - 1 AS net_ret, 'time_stop' AS exit_reason
   FROM taken t JOIN ahead a ON a.idx = t.idx
 ), moved AS (
-  SELECT *, ln(1 + {KNN.position_size} / signal_close * (exit_price - entry_price)) AS g FROM trades
+  SELECT *, 1 + {KNN.position_size} / signal_close * (exit_price - entry_price) AS g FROM trades
 ), curve AS (
-  SELECT x.symbol, x.session, x.idx, x.ts, x.close, {CASH} * exp(coalesce((SELECT sum(g) FROM moved m WHERE m.exit_idx <= x.idx), 0)) AS base,
+  SELECT x.symbol, x.session, x.idx, x.ts, x.close, {CASH} * coalesce((SELECT product(g) FROM moved m WHERE m.exit_idx <= x.idx), 1) AS base,
          (SELECT max(entry_idx) FROM moved m WHERE m.entry_idx <= x.idx AND m.exit_idx > x.idx) AS held FROM x
 ), equity AS (
   SELECT c.symbol, c.session, c.idx, c.ts, CASE WHEN held IS NULL THEN base ELSE base * (1 + {KNN.position_size} / m.signal_close * (c.close - m.entry_price)) END AS equity
@@ -224,7 +224,7 @@ FROM trades"""
 
 def walk(spark: SparkSession, sf_dir: str, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
     x = bars(spark, sf_dir)
-    asked = backtest.asked(signals.signals(x, s), x, s)
+    asked = backtest.asked(signals.signals(x, s), x, s).persist()  # used up to four times, and small next to what it comes from
     return x, asked, backtest.trades(asked, x, s)
 
 
@@ -491,7 +491,7 @@ query("live_step_cases", f"WITH {STEP_SQL} SELECT id, outcome, {num('CASE WHEN o
 query("order_states", "SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'filled' WHEN 1 THEN 'open' WHEN 2 THEN 'rejected' WHEN 3 THEN 'rejected' ELSE 'open' END AS state FROM events")(lambda s, d: table(s, d, "events").select(F.col("event_id").alias("id"), journal.order_state(F.element_at(F.array(*(F.lit(x) for x in ("FILLED", "partially_filled", "canceled", "expired", "accepted"))), (F.col("event_id") % 5 + 1).cast("int"))).alias("state")))
 OVERLAY_SQL = f"{BARS_SQL}, m AS (SELECT symbol, idx AS end_idx FROM x WHERE idx % 50 = 25), o AS (SELECT end_idx, unnest(range({-W}, {H + 1})) AS step FROM m), p AS (SELECT o.end_idx, step, close FROM o JOIN x ON x.idx = o.end_idx + step)"
 query("overlay_rebase", f"WITH {OVERLAY_SQL} SELECT 'EVT' AS symbol, end_idx, step::BIGINT AS step, {num(f'close / first_value(close) OVER (PARTITION BY end_idx ORDER BY step)', 'level')} FROM p WHERE end_idx >= {W}")(lambda s, d: shown(journal.overlay(bars(s, d), bars(s, d).where("idx % 50 = 25").select("symbol", F.col("idx").alias("end_idx")), W, H)))
-HISTOGRAM_SQL = f"{WINDOWS_SQL}, hs AS (SELECT count(*) AS c, min(fwd_ret) AS a, max(fwd_ret) AS z, least(30, greatest(5, count(*) // 2)) AS k FROM w WHERE fwd_ret IS NOT NULL), hb AS (SELECT least(k - 1, floor((fwd_ret - a) / ((z - a) / k)))::BIGINT AS bin, a, (z - a) / k AS wd FROM w, hs WHERE fwd_ret IS NOT NULL)"
+HISTOGRAM_SQL = f"{WINDOWS_SQL}, hs AS (SELECT count(*) AS c, min(fwd_ret) AS a, max(fwd_ret) AS b, least(30, greatest(5, count(*) // 2)) AS k FROM w WHERE fwd_ret IS NOT NULL), hb AS (SELECT least(k - 1, floor((fwd_ret - a) / ((b - a) / k)))::BIGINT AS bin, a, (b - a) / k AS wd FROM w, hs WHERE fwd_ret IS NOT NULL)"
 query("fwd_histogram", f"WITH {HISTOGRAM_SQL} SELECT bin, {num('any_value(a) + bin * any_value(wd)', 'lo')}, {num('any_value(a) + (bin + 1) * any_value(wd)', 'hi')}, count(*) AS n FROM hb GROUP BY bin")(lambda s, d: shown(journal.histogram(all_windows(s, d), "fwd_ret")))
 IDENTITIES = {c.signal_source: c.identity_json() for c in (KNN, TEMPLATE, CANDLE)}
 query("config_hash", "SELECT source, substr(sha256(identity), 1, 12) AS config_hash FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in IDENTITIES.items()) + ") AS t(source, identity)")(lambda s, d: s.createDataFrame(list(IDENTITIES.items()), "source string, identity string").select("source", F.substring(F.sha2("identity", 256), 1, 12).alias("config_hash")))
