@@ -45,14 +45,15 @@ WINDOW_STEPS = (1, 2, 4, 8)  # a hash over 16 ids, by doubling
 CUT_BITS = 9
 LEAST, MOST = 128, 4096
 #: Words whose ids a task keeps; that only spares repeated work.
-TABLE = 400_000
+TABLE = 800_000
 
 
 class WordEncoder:
     """The tokenizers library's encoding of whole texts, with the ids of words kept.
 
     The vocabulary's splitting pattern takes no match across white space and drops it, so a text has the ids of its
-    words between spaces and line feeds, one after the other.
+    words between spaces and line feeds, one after the other. Its letters are lower-cased first, and a letter and a mark
+    after it are never in one match; so a word is that without capital A-Z, and a last comma or full stop is looked up apart.
     """
 
     def __init__(self, path: str):
@@ -62,6 +63,16 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.words: dict[str, bytes] = {}
+        self.marks = {m: self.encode([m])[0] for m in ",."}
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))]
+
+    def stem(self, word: str) -> tuple[str, bytes]:
+        """The word that the library is asked for, and the ids of the mark that is taken off."""
+        mark = self.marks[word[-1]] if word[-1:] in self.marks and word[-2:-1].isalpha() and word[-2] < "\u0130" else b""  # above, letters may fall into letter and accent
+        word = word[:-1] if mark else word
+        return (word if word.islower() or "<|" in word else word.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")), mark
 
     def texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
@@ -69,12 +80,11 @@ class WordEncoder:
             self.words.clear()
         split = [t.replace("\n", " ").split(" ") for t in texts]
         words = self.words
-        new = list({w for ws in split for w in ws if w not in words})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                words[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return [b"".join([words[w] for w in ws]) for ws in split]
+        new = {w: self.stem(w) for w in set().union(*split) if w not in words}
+        stems = list({s for s, _ in new.values() if s not in words})
+        words.update(zip(stems, self.encode(stems), strict=True))
+        words.update((w, words[s] + mark) for w, (s, mark) in new.items())
+        return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
 
 @lru_cache(maxsize=2)
