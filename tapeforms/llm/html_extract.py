@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tapeforms.llm import shared
 
@@ -171,7 +172,7 @@ class Page(HTMLParser):
         return "\n".join(blocks)
 
 
-def host_of(url: str) -> Column:
+def host_of(url: str | Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
 
 
@@ -192,15 +193,18 @@ def templates(pages: DataFrame, url: str, html: str, least_pages: int, share: fl
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """pages with html replaced by text, the main text."""
+    """pages with html replaced by text, the main text; a column of that name gives way to it."""
     known = shared.cut(templates(pages, url, html, least_pages, share))
-    placed = shared.sized_join(pages.withColumn("host", host_of(url)) if "host" not in pages.columns else pages.drop("host").withColumn("host", host_of(url)), known, ["host"], "left", 512)
-    others = [c for c in pages.columns if c not in (html, "host", "text")]
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in others)
+    rows = shared.packed(pages)
+    placed = shared.sized_join(rows.withColumn("host", host_of(F.col(f"_row.{url}"))), known, ["host"], "left", 512)
+    others = [c for c in pages.columns if c not in (html, "text")]
+    kept = F.struct(*(F.col(f"_row.`{c}`") for c in others)) if others else F.struct(F.lit(1).alias("_"))
+    ready = placed.select(kept.alias("_row"), F.col(f"_row.{html}").alias("html"), "template")
+    schema = T.StructType([ready.schema["_row"], T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [Page(h.as_py() or "").text(frozenset(t.as_py() or ())) for h, t in zip(batch.column(html), batch.column("template"), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in others), pa.array(texts, pa.string())], names=[*others, "text"])
+            texts = [Page(h.as_py() or "").text(frozenset(t.as_py() or ())) for h, t in zip(batch.column("html"), batch.column("template"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "text"])
 
-    return placed.select(*others, html, "template").mapInArrow(run, f"{schema}, text string")
+    return ready.mapInArrow(run, schema).select(*(F.col(f"_row.`{c}`") for c in others), "text")

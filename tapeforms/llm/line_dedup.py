@@ -239,20 +239,25 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
     return gone.groupBy("_k", "_t").agg(F.collect_set("line").alias("lines"))
 
 
-def with_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """docs with `text` freed of duplicate lines, and the columns n_lines (with a word) and n_dropped."""
+def _freed(docs: DataFrame, id_col: str, text: str, how: dict) -> DataFrame:
+    """(_row, _text, n_lines, n_dropped): each row of docs, its text freed of duplicate lines, and the lines (with a word) it had and lost."""
     gone = shared.cut(dropped_lines(docs, id_col, text, **how))
-    joined = shared.sized_join(keyed(docs, id_col, text), gone.withColumnRenamed("lines", "_gone"), ["_k", "_t"], "left", 96)
-    freed = let(F.split(text, "\n"), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i)), "\n"))
-    freed = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(freed)
-    others = [F.col(f"`{c}`") for c in docs.columns]
-    worded = F.size(F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"^[\x20\x09-\x0D]*$")))
-    return joined.select(*(freed.alias(text) if c == text else o for c, o in zip(docs.columns, others, strict=True)), F.coalesce(worded, F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
+    rows = shared.packed(docs).withColumns({"_k": F.xxhash64(f"_row.{id_col}"), "_t": F.xxhash64(f"_row.{text}")})
+    joined = shared.sized_join(rows, gone.withColumnRenamed("lines", "_gone"), ["_k", "_t"], "left", 96)
+    t = F.col(f"_row.{text}")
+    freed = let(F.split(t, "\n"), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i)), "\n"))
+    worded = F.size(F.filter(F.split(t, "\n"), lambda x: ~x.rlike(r"^[\x20\x09-\x0D]*$")))
+    return joined.select("_row", F.when(F.col("_gone").isNull(), t).otherwise(freed).alias("_text"), F.when(t.isNull(), 0).otherwise(worded).cast("long").alias("n_lines"), F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_dropped"))
+
+
+def with_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """docs with `text` freed of duplicate lines, and the columns n_lines (with a word) and n_dropped, to which others of that name give way."""
+    columns = [F.col("_text").alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return _freed(docs, id_col, text, how).select(*columns, "n_lines", "n_dropped")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """docs with duplicate lines dropped; a document that loses all its lines goes, and n_chars, if there, follows the text."""
-    out = with_lines_dropped(docs, id_col, text, **how).where((F.col("n_dropped") == 0) | ~F.col(text).rlike(r"^[\x20\x09-\x0D]*$"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = _freed(docs, id_col, text, how).where((F.col("n_dropped") == 0) | ~F.col("_text").rlike(r"^[\x20\x09-\x0D]*$"))
+    length = {"n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {}
+    return out.select(*((length | {text: F.col("_text").alias(text)}).get(c, F.col(f"_row.`{c}`")) for c in docs.columns))

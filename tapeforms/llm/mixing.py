@@ -142,5 +142,6 @@ def taken(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 def taken_rows(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, **how) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken."""
     chosen = shared.cut(decisions(docs, id_col, source, text, seed=seed, **how).where("copies > 0").select("_h", "_g", "copies"))
-    rows = shared.sized_join(keyed(docs.withColumn("_size", words(text)), id_col, source, seed), chosen, ["_h", "_g"], "inner", 40)
-    return rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = shared.packed(docs).select("_row", F.col(f"_row.{id_col}").alias("id"), F.col(f"_row.{source}").alias("source"), words(f"_row.{text}").alias("_size"))
+    taken_ = shared.sized_join(keyed(rows, "id", "source", seed), chosen, ["_h", "_g"], "inner", 40)
+    return taken_.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

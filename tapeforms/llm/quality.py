@@ -2,8 +2,9 @@
 
 Words are maximal runs outside the six ASCII white-space characters. Nothing is shuffled: every figure of a document is
 computed from its own row. Edge cases: a null or empty text has no words and no lines, all counts are 0 and every ratio
-is 0, so it fails the length rule; a null in another column changes nothing; repeated rows get equal verdicts; extra
-columns are kept; columns of the input that have the name of a figure are an error rather than silently replaced.
+is 0, so it fails the length rule; a null in another column changes nothing; repeated rows get equal verdicts; an empty
+table gives an empty result; extra columns are kept, but those with the name of a figure or verdict give way to it, where
+these are returned.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeforms.llm.shared import SPACE_PATTERN
+from tapeforms.llm.shared import SPACE_PATTERN, packed
 
 # Frequent function words of English, French, German and Spanish, by which running prose is told from lists.
 STOP_WORDS = (
@@ -92,10 +93,7 @@ def window_hashes(ids: Column, n: Column) -> Column:
 
 def with_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the counts FIGURES (long) and the RATIOS (double)."""
-    clash = {*FIGURES, *RATIOS} & {*docs.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are already there")
-    keep = [F.col(f"`{c}`") for c in docs.columns]
+    keep = [F.col(f"`{c}`") for c in docs.columns if c not in {*FIGURES, *RATIOS}]
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: ~x.rlike(r"^[\x20\x09-\x0D]*$"))
     a = docs.select(*keep, F.filter(F.split(t, SPACE_PATTERN), lambda w: w != "").alias("_w"), lines.alias("_l"), F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).alias("_s"), F.regexp_count(t, F.lit(r"\p{Lu}")).alias("_u"))
@@ -152,5 +150,5 @@ def kept(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
     The verdict passes through a generator of one row, through which Catalyst moves no filter; else it would copy the
     expressions of all figures into the filter, once for each use.
     """
-    rows = judged(docs, rules, text).select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in docs.columns), F.col("kept").alias("_kept")))))
-    return rows.where("_kept").drop("_kept")
+    rows = judged(packed(docs), rules, f"_row.{text}").select(F.inline(F.array(F.struct("_row", "kept"))))
+    return rows.where("kept").select("_row.*")

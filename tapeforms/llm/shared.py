@@ -42,6 +42,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """df as one column, _row, so that no name that an operator adds can meet one of df; select("_row.*") undoes it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row"))
+
+
 def sized_join(left: DataFrame, small: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
     """left joined to small (already cut): broadcast when its rows times row_bytes are within BROADCAST_BYTES, else by shuffle, where AQE splits hot keys."""
     if small.count() * row_bytes <= BROADCAST_BYTES:
