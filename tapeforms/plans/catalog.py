@@ -461,7 +461,7 @@ def random_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 query("random_baseline", f"WITH RECURSIVE {RANDOM_SQL} SELECT 'EVT' AS symbol, resample::BIGINT AS resample, {num('mean_ret', 'mean_ret')} FROM rm")(lambda s, d: shown(random_of(s, d)[0]))
-query("p_value", f"WITH RECURSIVE {RANDOM_SQL}, st AS (SELECT avg(net_ret) AS m FROM trades) SELECT 'EVT' AS symbol, {num('(1 + count(*) FILTER (round(mean_ret, 12) >= round(m, 12))) / (count(*) + 1)', 'p_value')}, count(*) AS n_resamples FROM rm, st")(lambda s, d: (lambda m, t: shown(backtest.p_value(m, t.groupBy("symbol").agg(F.avg("net_ret").alias("mean_net_ret")))))(*random_of(s, d)))
+query("p_value", f"WITH RECURSIVE {RANDOM_SQL}, st AS (SELECT avg(net_ret) AS m FROM trades) SELECT 'EVT' AS symbol, {num('(1 + count(*) FILTER (round(mean_ret, 12) >= round(m, 12))) / (count(*) + 1)', 'p_value')}, count(*) AS n_resamples FROM rm, st HAVING count(*) > 0")(lambda s, d: (lambda m, t: shown(backtest.p_value(m, t.groupBy("symbol").agg(F.avg("net_ret").alias("mean_net_ret")))))(*random_of(s, d)))
 query("alpha", f"WITH {RUNS_SQL} SELECT n AS n_configs, {num('alpha', 'alpha')} FROM tried")(lambda s, d: shown(ledger.configs_tried(runs(s, d))))
 LEDGER_SQL = f"""WITH {RUNS_SQL}, g AS (
   SELECT config_hash, count(*) AS n_runs, max(started_at) AS last_run, arg_max(metrics_json, started_at) FILTER (status = 'ok') AS m FROM runs WHERE run_type = 'backtest' GROUP BY 1
