@@ -9,8 +9,9 @@ document id, text hash and line number.
 
 A band of 4 rows hashed 10 times finds a pair of Jaccard similarity 0.8 with probability 0.995, one of 0.9 with 0.99998.
 
-Edge cases: a null text stays null and an empty one empty; lines of fewer than `min_chars` characters in normal form stay,
-since coincidence repeats them, and so do blank lines; repeated rows (equal id and text) are one document and keep the
+Edge cases: a null text stays null and an empty one empty; blank lines stay, and so do lines of fewer than `min_chars`
+characters in normal form, where a caller wants such a limit: the query and the pipeline set it to 0, so that every line
+counts; a line of fewer than 7 characters has no other line with its shingles, and is compared by hash only; repeated rows (equal id and text) are one document and keep the
 same lines; null ids come last in the order; an empty table gives an empty result; extra columns are kept.
 """
 
@@ -32,6 +33,7 @@ SHINGLE = 7
 SIMILARITY = 0.8
 BANDS = 10
 ROWS = 4
+#: The limit of a call that gives none; 0 takes every line.
 MIN_CHARS = 20
 #: Lines of a bucket that one task takes; larger buckets are dealt into chunks of about this size.
 BLOCK = 256
@@ -104,7 +106,7 @@ def bitmaps(lines: list[str], k: int = SHINGLE) -> list[int]:
 def _worded(text: str | None, min_chars: int) -> Iterator[tuple[int, str]]:
     for number, line in enumerate(text.split("\n") if text else ()):
         line = normal(line)
-        if len(line) >= min_chars:
+        if line and len(line) >= min_chars:
             yield number, line
 
 
@@ -134,7 +136,7 @@ def occurrences(docs: DataFrame, id_col: str, text: str, min_chars: int) -> Data
 
 
 def banded(docs: DataFrame, text: str, k: int, bands: int, rows: int, min_chars: int) -> DataFrame:
-    """(key, h): the band keys of the lines that have more than one shingle. A line may come more than once."""
+    """(key, h): the band keys of the lines that have a whole shingle. A line may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -151,7 +153,7 @@ def banded(docs: DataFrame, text: str, k: int, bands: int, rows: int, min_chars:
         size = 0
         for batch in batches:
             for t in batch.column(0):
-                for _, x in _worded(t.as_py(), max(min_chars, k + 1)):
+                for _, x in _worded(t.as_py(), max(min_chars, k)):
                     name = xxhash.xxh3_128_digest(x)[:8]
                     if name in seen:  # spares repeated work only; what is left is removed after the shuffle
                         continue

@@ -72,8 +72,8 @@ FROM own o JOIN hashed h USING (conv_id) GROUP BY o.conv_id
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with its text after line dedup, and how many of its lines went."""
-    return line_dedup.with_lines_dropped(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Each document with its text after dedup of lines of any length, and how many of its lines went."""
+    return line_dedup.with_lines_dropped(_table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=0)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,24 @@ def test_line_dedup(spark, none):
     assert line_dedup.with_lines_dropped(none.drop("h")).count() == 0
 
 
+def test_lines_of_any_length_are_deduplicated(spark, tmp_path):
+    import corpus_pipeline
+    from tapeforms.llm import queries
+
+    near = "".join(chr(0x4E00 + i) for i in range(19))
+    lines = ["short", "SHORT", " short ", "a", "A", "ab", "-" * 7, "-" * 12, "1234567", "12345678", near, near + "!", near[:9], near, *(f"line {i % 6}" for i in range(12)), "\u00a0", "", "", *(prose(3)[:19] for _ in range(20))]
+    texts = ["\n".join(lines[i : i + 3]) for i in range(0, len(lines), 3)]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t), i) for i, t in enumerate(texts)], DOCS)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    x = [line_dedup.normal(t) for t in lines]
+    first = components(len(x), lambda i, j: x[i] and x[j] and line_dedup.alike(line_dedup.shingles(x[i]), line_dedup.shingles(x[j]), 0.8))
+    left = [[line for at, line in enumerate(lines[i : i + 3], i) if first[at] == at] for i in range(0, len(lines), 3)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: ("\n".join(a), min(3, len(lines) - 3 * i) - len(a)) for i, a in enumerate(left)}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.drop_duplicate_lines(spark, df, str(tmp_path)).collect()}
+    assert kept == {i: got[i][0] for i in got if got[i][1] == 0 or got[i][0].strip(" \n")}
+
+
 CLASH = {"lang": "_row", "h": "_k", "n_chars": "_text"}
 
 
