@@ -6,6 +6,7 @@ branch occurs on such data.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeforms.functions import candles, metrics, templates
+from tapeforms.llm import shared
 from tapeforms.operators import backtest, journal, ledger, neighbours, signals, windows
 from tapeforms.operators import bars as B
 from tapeforms.plans.settings import Settings
@@ -503,7 +505,7 @@ def stream_closed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(events).schema
     ticks = spark.readStream.schema(schema).parquet(f"{events}*")
-    return shown(live.drained(live.closed_bars(ticks, MINUTES), "closed_bars_of_events"))
+    return shown(live.written(live.closed_bars(ticks, MINUTES), f"{shared.shared_dir(spark)}/closed-bars-{uuid.uuid4().hex}"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -32,6 +32,13 @@ def into_store(bars: DataFrame, store: BarStore, checkpoint: str, source: str =
     return bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).start()
 
 
+def written(bars: DataFrame, folder: str) -> DataFrame:
+    """All that a finite stream gives, as Parquet in a new folder that all machines share, which holds the stream's state as well."""
+    query = bars.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/bars").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return bars.sparkSession.read.schema(bars.schema).parquet(f"{folder}/bars")
+
+
 def drained(bars: DataFrame, name: str) -> DataFrame:
     """All that a finite stream gives, as a table in memory; for tests and small inputs."""
     query = bars.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
