@@ -6,8 +6,8 @@ From the code of one vector and the rounding of another, bit counts give an unbi
 the factor gives its confidence bound: pairs whose upper bound is below the threshold are dismissed, all others are
 recomputed from the vectors in double precision, so no pair below the threshold is ever linked.
 
-Pairs come from banding the signs of several rotations (per label): at cosine 0.93 a pair shares one of the 24 bands of 10 bits with
-probability 0.9995, at 0.97 with 0.999999. A pair is taken in the first band that it shares. Buckets
+Pairs come from banding the signs of several rotations (per label): at cosine 0.93 a pair shares none of the 48 bands of 10 bits with
+probability 1.5e-7, at 0.94 with 2e-8. A pair is taken in the first band that it shares. Buckets
 that are large are dealt into chunks, of which each pair is a task's block; a task gives link counts and a spanning
 forest, never pairs. Equal vectors of a label are one node and are counted, not compared.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tapeforms.llm import shared
 
 COSINE = 0.93
-BANDS = 24
+BANDS = 48
 BITS = 10
 #: Half-width of the confidence interval, in standard errors of the estimate.
 SIGMAS = 5.0

@@ -298,6 +298,16 @@ def test_embeddings(spark):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_no_link_of_a_large_group_near_the_threshold_is_lost(spark):
+    rng = np.random.default_rng(1000)
+    x = rng.standard_normal(64) / 8 + 0.27 / 8 * rng.standard_normal((1000, 64))
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label long")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = ((x @ x.T) >= 0.93).sum(axis=1) - 1
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df).collect()}
+    assert want.sum() == 2 * 241_893 and got == dict(enumerate(want.tolist()))
+
+
 def test_estimates_are_unbiased_and_within_their_bounds():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((2000, 64))
