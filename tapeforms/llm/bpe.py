@@ -26,17 +26,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from tapeforms.llm import shared
+
 #: Bytes up to which a piece is merged in one go; longer ones are halved.
 LEAF = 12
 #: Characters up to which a text is encoded in one go; longer ones are halved.
 TEXT_LEAF = 1 << 16
-#: Entries that a task's tables of segments, pieces and pairs may have.
-TABLE = 400_000
-
-SEGMENTS = re.compile("[ \n]*[^ \n]+|[ \n]+")
+#: Bytes of a leaf of a long piece, which has no common halves.
+LONG_LEAF = 512
+#: Entries that a task's tables of pieces, leaves and pairs may each have, and bytes of its table of segments.
+TABLE = 30_000
+TABLE_BYTES = 32 << 20
+#: White space beyond ASCII with a space or line feed after it: no safe place to cut.
+UNSAFE = "[" + "".join(f"\\x{{{c:x}}}" for c in range(128, 1 << 16) if chr(c).isspace()) + "][ \n]"
 
 
 class Codec:
@@ -49,7 +55,9 @@ class Codec:
         self.stable: dict[tuple[int, int], bool] = {}
         self.leaves: dict[bytes, tuple[int, ...]] = {}
         self.pieces: dict[str, bytes] = {}
-        self.segments: dict[str, bytes | None] = {}
+        #: Marks that are a match of their own at the end of a word.
+        self.marks = bytes(m for m in b",.;:!?" if self.pattern.findall("a" + chr(m)) == ["a", chr(m)])
+        self.segments = shared.WordIds(lambda segments: list(map(self.split_and_encode, segments)), TABLE_BYTES)
 
     def merged(self, data: bytes) -> tuple[int, ...]:
         """A leaf: the pair of least rank, the leftmost of these, is merged until none is in the table."""
@@ -117,16 +125,18 @@ class Codec:
                 return left[:a] + window + right[b:]
             w *= 2
 
-    def tree(self, data: bytes) -> tuple[int, ...]:
-        if len(data) <= LEAF:
-            found = self.leaves.get(data)
-            if found is None:
-                if len(self.leaves) > TABLE:
-                    self.leaves.clear()
-                found = self.leaves[data] = self.merged(data)
-            return found
-        middle = len(data) // 2
-        return self.join(self.tree(data[:middle]), self.tree(data[middle:]))
+    def tree(self, data: bytes, leaf: int) -> tuple[int, ...]:
+        if len(data) > leaf:
+            middle = len(data) // 2
+            return self.join(self.tree(data[:middle], leaf), self.tree(data[middle:], leaf))
+        if leaf > LEAF:
+            return self.merged(data)
+        found = self.leaves.get(data)
+        if found is None:
+            if len(self.leaves) > TABLE:
+                self.leaves.clear()
+            found = self.leaves[data] = self.merged(data)
+        return found
 
     def piece(self, text: str) -> bytes:
         """The ids of a match of the pattern, as little-endian unsigned 32-bit integers."""
@@ -134,7 +144,7 @@ class Codec:
         if found is None:
             data = text.encode()
             whole = self.ranks.get(data)
-            ids = (whole,) if whole is not None else self.tree(data)
+            ids = (whole,) if whole is not None else self.tree(data, LEAF if len(data) <= LONG_LEAF else LONG_LEAF)
             found = struct.pack(f"<{len(ids)}I", *ids)
             if len(data) <= 64:
                 if len(self.pieces) > TABLE:
@@ -146,30 +156,21 @@ class Codec:
         """The ids of a text that is taken as it is."""
         return b"".join(map(self.piece, self.pattern.findall(text)))
 
-    def segment(self, text: str) -> bytes | None:
-        """The ids of a segment; None if the segment ends with another kind of space, so that its end is no safe place."""
-        found = self.split_and_encode(text) if not text[-1].isspace() else None
-        if len(text) <= 64:
-            if len(self.segments) > TABLE:
-                self.segments.clear()
-            self.segments[text] = found
-        return found
-
-    def leaf(self, text: str) -> bytes:
-        parts = SEGMENTS.findall(text)
-        known = self.segments
-        out = [known[p] if p in known else self.segment(p) for p in parts[:-1]]
-        if None in out:
-            return self.split_and_encode(text)
-        if parts:
-            last = parts[-1]
-            out.append(self.split_and_encode(last) if last[-1].isspace() else known[last] if last in known else self.segment(last))
-        return b"".join(out)
+    def texts(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text. Where a non-space is followed by a space or line feed, the text is cut, and the ids of its
+        segments are put together; a text with other white space than that of ASCII before such a place is encoded by itself."""
+        ids, begins = self.segments.of(texts, marks=self.marks)
+        ends = (4 * begins).tolist()
+        data = ids.tobytes()
+        out = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for i in np.flatnonzero(np.asarray(pc.match_substring_regex(texts, UNSAFE))).tolist():
+            out[i] = self.text(texts[i].as_py())
+        return out
 
     def text(self, text: str) -> bytes:
         """The ids of a text, by halves; a half is cut at the safe place nearest to its middle."""
         if len(text) <= TEXT_LEAF:
-            return self.leaf(text)
+            return self.split_and_encode(text)
         middle = len(text) // 2
         for reach in (64, 4096, len(text)):  # the window about the middle grows until it has a safe place
             a, b = max(1, middle - reach), min(len(text) - 1, middle + reach)
@@ -179,6 +180,12 @@ class Codec:
                 return self.text(text[:at]) + self.text(text[at:])
         return self.split_and_encode(text)
 
+    def forget(self) -> None:
+        """Gives up the tables, so that a worker that waits for other tasks holds none."""
+        for table in (self.stable, self.leaves, self.pieces):
+            table.clear()
+        self.segments.forget()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of ids, concatenated up a binary tree."""
         if len(ids) <= 4096:
@@ -205,10 +212,9 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                ids = [own.text(t.as_py() or "") for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+            for part, texts in shared.slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.texts(texts), pa.binary())], names=[id_col, "ids"])
+        own.forget()
 
     return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, ids binary")
 
@@ -235,13 +241,17 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            rows = []
-            for t in batch.column(1):
-                ids = own.text(t.as_py() or "")
-                data = own.decode(np.frombuffer(ids, dtype="<u4"))
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(data).hexdigest(), ids if with_ids else None))
-            n, a, b, ids = zip(*rows, strict=True) if rows else ((), (), (), ())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns[: 4 + with_ids], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
+            for part, texts in shared.slices(batch, 1):
+                ids = own.texts(texts)
+                data = (own.decode(np.frombuffer(x, dtype="<u4")) for x in ids)
+                columns = [
+                    part.column(0),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string()),
+                    *([pa.array(ids, pa.binary())] if with_ids else []),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: 4 + with_ids])
+        own.forget()
 
     return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

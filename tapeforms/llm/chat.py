@@ -51,5 +51,5 @@ def formatted(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     own = held.groupBy(*name).agg(F.min("conv").alias("keep"), F.count(F.lit(1)).alias("n_copies"))
     continued = held.select(F.inline("prefixes")).distinct()
     maximal = shared.cut(own.join(continued, name, "left_anti"))
-    kept = shared.sized_join(held.select("conv", *name, "text"), maximal, name, "inner", 80).where(F.col("conv").eqNullSafe(F.col("keep")))
+    kept = shared.sized_join(held.select("conv", *name, "text"), maximal, name, "inner").where(F.col("conv").eqNullSafe(F.col("keep")))
     return kept.select(F.col("conv").alias(conv), F.col("n").cast("long").alias("n_turns"), F.col("n_copies").cast("long"), "text")

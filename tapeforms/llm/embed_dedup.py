@@ -158,6 +158,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     placed = nodes.select("node", "n", "least").join(weights, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     heads = shared.cut(placed.join(least, "component").select("node", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), "component_id"))
-    out = shared.sized_join(rows.select("id", "node"), heads, ["node"], "left", 64)
+    out = shared.sized_join(rows.select("id", "node"), heads, ["node"], "left")
     of = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), of.alias("component_id"), F.coalesce(F.col("id") == of, F.lit(False)).alias("kept"))

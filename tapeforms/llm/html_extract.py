@@ -196,7 +196,7 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", least_page
     """pages with html replaced by text, the main text; a column of that name gives way to it."""
     known = shared.cut(templates(pages, url, html, least_pages, share))
     rows = shared.packed(pages)
-    placed = shared.sized_join(rows.withColumn("host", host_of(F.col(f"_row.{url}"))), known, ["host"], "left", 512)
+    placed = shared.sized_join(rows.withColumn("host", host_of(F.col(f"_row.{url}"))), known, ["host"], "left")
     others = [c for c in pages.columns if c not in (html, "text")]
     kept = F.struct(*(F.col(f"_row.`{c}`") for c in others)) if others else F.struct(F.lit(1).alias("_"))
     ready = placed.select(kept.alias("_row"), F.col(f"_row.{html}").alias("html"), "template")

@@ -38,6 +38,9 @@ MIN_CHARS = 20
 #: Lines of a bucket that one task takes; larger buckets are dealt into chunks of about this size.
 BLOCK = 256
 BITMAP = 4096
+#: Lines whose band keys a task remembers to have given, and shingles that it keeps as sets; both only spare repeated work.
+SEEN = 100_000
+SETS = 100_000
 
 
 def normal(line: str) -> str:
@@ -115,61 +118,50 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.withColumn("_k", F.xxhash64(id_col)).withColumn("_t", F.xxhash64(text))
 
 
-def occurrences(docs: DataFrame, id_col: str, text: str, min_chars: int) -> DataFrame:
-    """(id_col, _k, _t, line, h, g): the lines of docs by number and by two 64-bit hashes of their normal form."""
+def occurrences(docs: DataFrame, id_col: str, text: str, k: int, bands: int, rows: int, min_chars: int) -> DataFrame:
+    """(id_col, _k, _t, line, h, g, keys): the lines of docs by number and by two 64-bit hashes of their normal form. keys are
+    the band keys of a line that has a whole shingle; they are left out where the task has given them lately."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, line, h, g = [], [], [], []
-            for i, t in enumerate(batch.column(3)):
-                for number, x in _worded(t.as_py(), min_chars):
-                    row.append(i)
-                    line.append(number)
-                    digest = xxhash.xxh3_128_digest(x)
-                    h.append(digest[:8])
-                    g.append(digest[8:])
-            longs = [pa.array(np.frombuffer(b"".join(v), dtype=np.int64)) for v in (h, g)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row, pa.int64())) for c in range(3)), pa.array(line, pa.int32()), *longs], names=[id_col, "_k", "_t", "line", "h", "g"])
-
-    return keyed(docs, id_col, text).select(id_col, "_k", "_t", text).mapInArrow(run, f"`{id_col}` {kind}, _k long, _t long, line int, h long, g long")
-
-
-def banded(docs: DataFrame, text: str, k: int, bands: int, rows: int, min_chars: int) -> DataFrame:
-    """(key, h): the band keys of the lines that have a whole shingle. A line may come more than once."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        lines: list[str] = []
-        names: list[bytes] = []
-
-        def drained() -> pa.RecordBatch:
-            keys = band_keys(lines, k, bands, rows).view(np.int64)
-            h = np.repeat(np.frombuffer(b"".join(names), dtype=np.int64), bands)
-            lines.clear()
-            names.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(h)], names=["key", "h"])
-
-        size = 0
-        for batch in batches:
-            for t in batch.column(0):
-                for _, x in _worded(t.as_py(), max(min_chars, k)):
-                    name = xxhash.xxh3_128_digest(x)[:8]
-                    if name in seen:  # spares repeated work only; what is left is removed after the shuffle
-                        continue
-                    if len(seen) > 500_000:
-                        seen.clear()
-                    seen.add(name)
-                    lines.append(x)
-                    names.append(name)
-                    size += len(x)
-                    if size > 1 << 16:
-                        size = 0
-                        yield drained()
-        if lines:
-            yield drained()
-
-    return docs.select(text).mapInArrow(run, "key long, h long")
+        for whole in batches:
+            for batch, texts in shared.slices(whole, 3, 1 << 20):
+                row, line, names, new, fresh = [], [], [], [], []
+                for i, t in enumerate(texts):
+                    for number, x in _worded(t.as_py(), min_chars):
+                        name = xxhash.xxh3_128_digest(x)
+                        if len(x) >= k and name[:8] not in seen:  # spares repeated work only; what is left is removed after the shuffle
+                            seen.add(name[:8])
+                            new.append(len(row))
+                            fresh.append(x)
+                        row.append(i)
+                        line.append(number)
+                        names.append(name)
+                if len(seen) > SEEN:
+                    seen.clear()
+                sizes = np.zeros(len(row) + 1, dtype=np.int32)
+                sizes[np.array(new, dtype=np.int64) + 1] = bands
+                keys = [band_keys(part, k, bands, rows).view(np.int64).ravel() for part in portions(fresh, 1 << 16)]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
+                hashes = np.frombuffer(b"".join(names), dtype=np.int64)
+                longs = [pa.array(np.ascontiguousarray(hashes[i::2])) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row, pa.int64())) for c in range(3)), pa.array(line, pa.int32()), *longs, lists], names=[id_col, "_k", "_t", "line", "h", "g", "keys"])
+
+    return keyed(docs, id_col, text).select(id_col, "_k", "_t", text).mapInArrow(run, f"`{id_col}` {kind}, _k long, _t long, line int, h long, g long, keys array<long>")
+
+
+def portions(lines: list[str], chars: int) -> Iterator[list[str]]:
+    """The lines, some at a time: about `chars` characters or one line."""
+    held, size = [], 0
+    for x in lines:
+        held.append(x)
+        size += len(x)
+        if size > chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def verified(members: DataFrame, k: int, similarity: float, block: int) -> DataFrame:
@@ -187,12 +179,24 @@ def verified(members: DataFrame, k: int, similarity: float, block: int) -> DataF
             bits = dict(zip(rows, bitmaps(list(line.values()), k), strict=True))
             size = {i: len(x) - k + 1 for i, x in line.items()}  # of shingles, repeats counted
             sets: dict[int, set[str]] = {}
+            held = 0
             slack = (1 - similarity) / (1 + similarity)
 
+            def shingled(i: int) -> set[str]:
+                nonlocal held
+                found = sets.get(i)
+                if found is None:
+                    if held > SETS:
+                        sets.clear()
+                        held = 0
+                    found = sets[i] = shingles(line[i], k)
+                    held += len(found)
+                return found
+
             def linked(i: int, j: int) -> bool:
                 if (bits[i] ^ bits[j]).bit_count() > slack * (size[i] + size[j]):
                     return False
-                return alike(*(sets.get(x) or sets.setdefault(x, shingles(line[x], k)) for x in (i, j)), similarity)
+                return alike(shingled(i), shingled(j), similarity)
 
             starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))).tolist()
             for lo, hi in zip(starts, [*starts[1:], len(h)], strict=True):
@@ -217,17 +221,18 @@ def first_place(id_col: str) -> Column:
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, min_chars: int = MIN_CHARS, block: int = BLOCK) -> DataFrame:
     """(_k, _t, lines): the numbers of the lines to drop, of each document that has any."""
     n = shared.partitions(docs.sparkSession)
-    lines = shared.cut(occurrences(docs, id_col, text, min_chars))
+    found = shared.cut(occurrences(docs, id_col, text, k, bands, rows, min_chars))
+    lines = found.drop("keys")
     # Buckets of two lines and more; of buckets with the same lines one is enough.
-    bucketed = banded(docs, text, k, bands, rows, min_chars).repartition(n, "key").dropDuplicates(["key", "h"])
+    bucketed = found.select(F.explode("keys").alias("key"), "h").repartition(n, "key").dropDuplicates(["key", "h"])
     bucket = W.partitionBy("key")
     shaped = shared.cut(bucketed.withColumns({"n": F.count(F.lit(1)).over(bucket), "x": F.bit_xor("h").over(bucket), "s": F.sum(F.shiftright("h", 24)).over(bucket)}).where("n > 1"))
     chosen = shaped.groupBy("n", "x", "s").agg(F.min("key").alias("key")).select("key")
     members = shared.cut(shaped.select("key", "h").join(chosen, "key"))
     wanted = shared.cut(members.select("h").distinct())
-    firsts = shared.sized_join(lines, wanted, ["h"], "left_semi", 16).groupBy("h").agg(F.min(first_place(id_col)).alias("p"))
+    firsts = shared.sized_join(lines, wanted, ["h"], "left_semi").groupBy("h").agg(F.min(first_place(id_col)).alias("p"))
     places = shared.cut(firsts.groupBy(F.col("p.k").alias("_k"), F.col("p.t").alias("_t")).agg(F.collect_list(F.struct("h", F.col("p.l").alias("l"))).alias("_at")))
-    holders = shared.sized_join(keyed(docs, id_col, text).select("_k", "_t", F.col(text).alias("_x")), places, ["_k", "_t"], "inner", 96)
+    holders = shared.sized_join(keyed(docs, id_col, text).select("_k", "_t", F.col(text).alias("_x")), places, ["_k", "_t"], "inner")
     texts = holders.select(F.inline(let(F.split("_x", "\n"), lambda parts: F.transform("_at", lambda p: F.struct(p["h"].alias("h"), F.get(parts, p["l"]).alias("text")))))).dropDuplicates(["h"])
     groups = shared.components(verified(members.join(texts, "h"), k, similarity, block))
     # Equal lines are one group; groups in one component are one.
@@ -235,9 +240,8 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k
     placed = equal.join(groups.select(F.col("node").alias("h"), "component"), "h", "left").where("n > 1 or component is not null")
     of = F.when(F.col("component").isNotNull(), F.struct(F.col("component").alias("c"), F.lit(None).cast("long").alias("g"))).otherwise(F.struct(F.col("h").alias("c"), F.col("g").alias("g")))
     placed = shared.cut(placed.withColumn("_of", of))
-    keepers = placed.groupBy("_of").agg(F.min("p").alias("keep"))
-    kept_at = shared.cut(placed.join(keepers, "_of").select("h", "g", F.col("keep.k").alias("ck"), F.col("keep.t").alias("ct"), F.col("keep.l").alias("cl")))
-    gone = shared.sized_join(lines, kept_at, ["h", "g"], "inner", 56).where("not (_k = ck and _t = ct and line = cl)")
+    kept_at = shared.cut(shared.least_of(placed, "_of", "p", "keep").select("h", "g", F.col("keep.k").alias("ck"), F.col("keep.t").alias("ct"), F.col("keep.l").alias("cl")))
+    gone = shared.sized_join(lines, kept_at, ["h", "g"], "inner").where("not (_k = ck and _t = ct and line = cl)")
     return gone.groupBy("_k", "_t").agg(F.collect_set("line").alias("lines"))
 
 
@@ -245,7 +249,7 @@ def _freed(docs: DataFrame, id_col: str, text: str, how: dict) -> DataFrame:
     """(_row, _text, n_lines, n_dropped): each row of docs, its text freed of duplicate lines, and the lines (with a word) it had and lost."""
     gone = shared.cut(dropped_lines(docs, id_col, text, **how))
     rows = shared.packed(docs).withColumns({"_k": F.xxhash64(f"_row.{id_col}"), "_t": F.xxhash64(f"_row.{text}")})
-    joined = shared.sized_join(rows, gone.withColumnRenamed("lines", "_gone"), ["_k", "_t"], "left", 96)
+    joined = shared.sized_join(rows, gone.withColumnRenamed("lines", "_gone"), ["_k", "_t"], "left")
     t = F.col(f"_row.{text}")
     freed = let(F.split(t, "\n"), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), "_gone"), lambda i: F.get(parts, i)), "\n"))
     worded = F.size(F.filter(F.split(t, "\n"), lambda x: ~x.rlike(r"^[\x20\x09-\x0D]*$")))

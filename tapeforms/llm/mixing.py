@@ -110,7 +110,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", source: str = "source", t
     per = shared.cut(aimed.withColumn("sid", sid).join(sums.select(sid.alias("sid"), "n"), "sid").select("sid", "source_size", "target", "n"))
     share = F.least(F.lit(float(most)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     per = per.withColumn("_f", share).withColumn("whole", F.floor(F.col("_f") + CLOSE)).withColumn("p", F.greatest(F.lit(0.0), F.col("_f") - F.col("whole"))).drop("_f")
-    placed = shared.sized_join(items.withColumn("sid", sid), per, ["sid"], "inner", 96)
+    placed = shared.sized_join(items.withColumn("sid", sid), per, ["sid"], "inner")
     item = F.struct((-F.col("size") * F.col("m")).alias("k"), F.col("_h").alias("h"), F.col("_g").alias("g"), F.col("id"), F.col("size"), F.col("m"), (F.col("size") * F.col("m")).cast("double").alias("a"), F.col("p"))
     chunk = F.pmod(F.xxhash64(F.lit(seed + 1), "_h"), F.ceil(F.col("n") / fan)).alias("chunk")
     live = placed.where("size > 0").select("sid", chunk, item.alias("it"))
@@ -130,7 +130,7 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", source: str = "source", t
     for more in decided[1:]:
         together = together.unionByName(more)
     copies = (F.col("whole") + F.round(F.col("it.p"))).cast("int")
-    return shared.sized_join(together, per.drop("p", "n"), ["sid"], "inner", 96).select(F.col("it.h").alias("_h"), F.col("it.g").alias("_g"), "it.id", "it.m", "it.size", "source_size", "target", copies.alias("copies"))
+    return shared.sized_join(together, per.drop("p", "n"), ["sid"], "inner").select(F.col("it.h").alias("_h"), F.col("it.g").alias("_g"), "it.id", "it.m", "it.size", "source_size", "target", copies.alias("copies"))
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
@@ -143,5 +143,5 @@ def taken_rows(docs: DataFrame, id_col: str = "doc_id", source: str = "source",
     """The mix itself: each row of docs as often as it is taken."""
     chosen = shared.cut(decisions(docs, id_col, source, text, seed=seed, **how).where("copies > 0").select("_h", "_g", "copies"))
     rows = shared.packed(docs).select("_row", F.col(f"_row.{id_col}").alias("id"), F.col(f"_row.{source}").alias("source"), words(f"_row.{text}").alias("_size"))
-    taken_ = shared.sized_join(keyed(rows, "id", "source", seed), chosen, ["_h", "_g"], "inner", 40)
+    taken_ = shared.sized_join(keyed(rows, "id", "source", seed), chosen, ["_h", "_g"], "inner")
     return taken_.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -176,15 +176,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     prints = shared.cut(fingerprints(docs, id_col, text, shingle))
     nodes = shared.cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
     groups = shared.components(links(nodes.select("fp"), budget, block))
-    placed = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    heads = shared.cut(placed.join(least, "component").select("fp", "component_id"))
+    placed = shared.cut(nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    heads = shared.cut(shared.least_of(placed, "component", "least", "component_id").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return shared.sized_join(prints, heads, ["fp"], "inner", 40).select(id_col, hexed, "component_id")
+    return shared.sized_join(prints, heads, ["fp"], "inner").select(id_col, hexed, "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One document of each component: that with the least id. Rows without an id stay, as nothing can stand for them."""
-    keep = shared.cut(near_duplicates(docs, id_col, text, **how).where(F.col(id_col) == F.col("component_id")).select(id_col).distinct())
-    named = shared.sized_join(docs.where(F.col(id_col).isNotNull()), keep, [id_col], "left_semi", 24)
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each component: that with the least id and, of rows with that id, the least text (by hash); of equal rows
+    one. Rows without an id stay, as nothing can stand for them."""
+    found = near_duplicates(docs, id_col, text, **how)
+    heads = shared.cut(found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")))
+    rows = shared.packed(docs).withColumn("_id", F.col(f"_row.{id_col}"))
+    named = shared.sized_join(rows.where("_id is not null"), heads, ["_id"], "inner")
+    # Only rows that share an id are shuffled.
+    one = named.where("_n > 1").groupBy("_id").agg(F.min_by("_row", F.struct(F.xxhash64(f"_row.{text}"), F.xxhash64("_row"))).alias("_row"))
+    return named.where("_n = 1").select("_row").unionByName(one.select("_row")).unionByName(rows.where("_id is null").select("_row")).select("_row.*")

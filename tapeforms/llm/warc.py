@@ -237,7 +237,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "ur
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("target_uri"), payload.alias("payload")).withColumn("payload_digest", base32_sha1(F.col("payload")))
     heads = shared.cut(rows.where(F.octet_length("payload") >= least_bytes).groupBy("payload_digest").agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    placed = shared.sized_join(rows, heads, ["payload_digest"], "left", 64)
+    placed = shared.sized_join(rows, heads, ["payload_digest"], "left")
     again = F.col("top").isNotNull() & (F.octet_length("payload") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("top"))
 
     def name(c: str) -> Column:
