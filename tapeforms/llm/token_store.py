@@ -22,7 +22,9 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -44,16 +46,18 @@ MAGIC = b"TFCHUNK1"
 WINDOW_STEPS = (1, 2, 4, 8)  # a hash over 16 ids, by doubling
 CUT_BITS = 9
 LEAST, MOST = 128, 4096
-#: Words whose ids a task keeps; that only spares repeated work.
-TABLE = 800_000
+#: Names of chunks that a task remembers; that only spares repeated work.
+SENT = 100_000
+#: A character that is a word of its own, between words that are encoded together.
+MARK = "\x01"
 
 
 class WordEncoder:
     """The tokenizers library's encoding of whole texts, with the ids of words kept.
 
-    The vocabulary's splitting pattern takes no match across white space and drops it, so a text has the ids of its
-    words between spaces and line feeds, one after the other. Its letters are lower-cased first, and a letter and a mark
-    after it are never in one match; so a word is that without capital A-Z, and a last comma or full stop is looked up apart.
+    Where the vocabulary's splitting pattern drops white space, normalisation changes no word by its neighbours, and no
+    special token holds a space, a text has the ids of its words between spaces and line feeds, one after the other. This
+    is looked up in the vocabulary file; with another kind of vocabulary whole texts go to the library.
     """
 
     def __init__(self, path: str):
@@ -62,29 +66,59 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.words: dict[str, bytes] = {}
-        self.marks = {m: self.encode([m])[0] for m in ",."}
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False))]
-
-    def stem(self, word: str) -> tuple[str, bytes]:
-        """The word that the library is asked for, and the ids of the mark that is taken off."""
-        mark = self.marks[word[-1]] if word[-1:] in self.marks and word[-2:-1].isalpha() and word[-2] < "\u0130" else b""  # above, letters may fall into letter and accent
-        word = word[:-1] if mark else word
-        return (word if word.islower() or "<|" in word else word.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")), mark
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        if len(self.words) > TABLE:
-            self.words.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = self.words
-        new = {w: self.stem(w) for w in set().union(*split) if w not in words}
-        stems = list({s for s, _ in new.values() if s not in words})
-        words.update(zip(stems, self.encode(stems), strict=True))
-        words.update((w, words[s] + mark) for w, (s, mark) in new.items())
-        return [b"".join(map(words.__getitem__, ws)) for ws in split]
+        with open(path, encoding="utf-8") as file:
+            vocabulary = json.load(file)
+        self.by_word = splits_at_spaces(vocabulary)
+        #: Special tokens are found before letters are made small, so texts with one keep their capitals.
+        self.special = [t["content"].lower().encode() for t in vocabulary.get("added_tokens", ())]
+        self.lowers = {"type": "Lowercase"} in steps_of(vocabulary)
+        self.table = shared.WordIds(self.apart)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids if self.by_word else (None,)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def apart(self, words: list[str]) -> list[bytes]:
+        """The ids of each word: many go to the library as one text, with a mark between them that no word holds."""
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if MARK not in w]
+        groups = [plain[i : i + 1000] for i in range(0, len(plain), 1000)]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast([f" {MARK} ".join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == self.mark).tolist(), len(ids)]
+            data = ids.tobytes()
+            for i, a, b in zip(group, [-1, *ends], ends, strict=False):
+                out[i] = data[4 * (a + 1) : 4 * b]
+        others = [i for i, w in enumerate(words) if MARK in w]
+        for i, ids in zip(others, self.encode([words[i] for i in others]), strict=True):
+            out[i] = ids
+        return out
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and where each text's begin (one more entry for the end)."""
+        if self.by_word:
+            data = shared.text_bytes(texts)[0].tobytes().lower()
+            free = not any(t in data for t in self.special)
+            return self.table.of(texts, bare=True, lower=free and self.lowers, marks=b",." if free else b"")
+        ids = self.encode(texts.to_pylist())
+        return np.frombuffer(b"".join(ids), dtype="<u4"), np.cumsum([0, *(len(x) // 4 for x in ids)])
+
+
+def steps_of(vocabulary: dict) -> list[dict]:
+    """The normalizers of a tokenizer file, one after another."""
+    normalizer = vocabulary.get("normalizer") or {"type": "Sequence", "normalizers": []}
+    return normalizer["normalizers"] if normalizer["type"] == "Sequence" else [normalizer]
+
+
+def splits_at_spaces(vocabulary: dict) -> bool:
+    """Whether a tokenizer file encodes words apart: its normalizers are among those that work letter by letter, its first
+    split keeps only matches of a pattern that can't hold white space, and its special tokens have no space about them."""
+    local = all(s["type"] in ("NFC", "Lowercase") or (s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " ") for s in steps_of(vocabulary))
+    splitter = vocabulary.get("pre_tokenizer") or {}
+    first = (splitter.get("pretokenizers") or [splitter])[0]
+    # Fixed value: a pattern all of whose matches are letters, digits or other signs, of which none is white space.
+    solid = first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and first.get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+    return bool(local and solid and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") for t in vocabulary.get("added_tokens", ())))
 
 
 @lru_cache(maxsize=2)
@@ -175,15 +209,12 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, press, sent = encoder(path), zstandard.ZstdCompressor(level=3), set()
-        close = struct.pack("<I", end_id)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                streams = [x + close for x in own.texts([t.as_py() or "" for t in batch.column(2)])]
-                ids = np.frombuffer(b"".join(streams), dtype="<u4")
-                lengths = np.fromiter((len(x) // 4 for x in streams), dtype=np.int64, count=len(streams))
+            for batch, texts in shared.slices(whole, 2):
+                ids, bounds = own.texts(texts)
+                ids = np.insert(ids, bounds[1:], end_id)
+                starts = bounds[:-1] + np.arange(len(texts))
                 row, seq, n, name, data = [], [], [], [], []
-                starts = np.cumsum(lengths) - lengths
                 for i, ends in enumerate(cuts(ids, starts)):
                     a = int(starts[i])
                     for k, b in enumerate(ends):
@@ -194,12 +225,13 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text: str) ->
                         n.append(b - a)
                         name.append(digest)
                         data.append(None if digest in sent else packed(part, own.wide, press))
-                        if len(sent) > TABLE:
+                        if len(sent) > SENT:
                             sent.clear()
                         sent.add(digest)
                         a = b
                 where = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array(name, pa.binary()), pa.array(data, pa.binary())], names=[id_col, "t", "seq", "n", "name", "data"])
+        own.table.forget()
 
     return docs.select(id_col, F.xxhash64(text).alias("t"), text).mapInArrow(run, f"`{id_col}` {kind}, t long, seq int, n int, name binary, data binary")
 
@@ -313,8 +345,9 @@ def _followed(spark: SparkSession, folder: str, with_ids: bool) -> tuple[DataFra
     steps = recipes.select("start", F.inline("chunks"))
     held = read_chunks(spark, folder, with_ids).withColumnRenamed("n", "held")
     what = ["seq", "held", "name", "crc", *["ids"] * with_ids]
-    found = steps.join(held, "name", "left").groupBy("start").agg(F.sort_array(F.collect_list(F.struct(*what))).alias("found"))
-    return recipes.select(id_col, "start", "n_tokens", "root").join(found, "start"), id_col
+    # What Catalyst knows of the chunks' size is that of the list of files, so the join is named: it must not be a broadcast.
+    found = steps.hint("merge").join(held.hint("merge"), "name", "left").groupBy("start").agg(F.sort_array(F.collect_list(F.struct(*what))).alias("found"))
+    return recipes.select(id_col, "start", "n_tokens", "root").hint("merge").join(found.hint("merge"), "start"), id_col
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -326,12 +359,16 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
         powers: dict[int, list[int]] = {}
         for batch in batches:
             sums = []
-            for n, root, found in zip(batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                if None in [c["held"] for c in found] or merkle_root(c["name"] for c in found) != root or sum(c["held"] for c in found) != n:
+            lists = batch.column("found")
+            found = lists.flatten()
+            held, crcs, names = (found.field(c).to_pylist() for c in ("held", "crc", "name"))
+            ends = np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64)).tolist()
+            for n, root, a, b in zip(batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist(), [0, *ends], ends, strict=False):
+                if None in held[a:b] or merkle_root(names[a:b]) != root or sum(held[a:b]) != n:
                     raise ValueError("a document is not what its recipe says")
-                crc = 0
-                for c in found:
-                    crc = crc_of_both(crc, c["crc"], 4 * c["held"], powers)
+                crc = crcs[a]
+                for i in range(a + 1, b):
+                    crc = crc_of_both(crc, crcs[i], 4 * held[i], powers)
                 sums.append(crc)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in (id_col, "start", "n_tokens")] + [pa.array(sums, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
