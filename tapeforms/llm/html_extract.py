@@ -1,60 +1,83 @@
 """Main text of web pages by removal of site templates.
 
-Every page is parsed to a flat list of elements; each subtree has a hash over its tag, class, id and content. Spark counts,
-per host, on how many pages a subtree recurs; those on at least `least_pages` and on `share` of the host's pages are its
-template and are deleted. What marks itself as no content (navigation, forms, scripts, adverts, comments and so on) is
-deleted by tag, role, class or id. If there is an article or main element, the text is what is left in it, and there only
+Every page is parsed once, to its blocks of text and to the subtrees that may be template. A subtree has a hash over its tag, class, id
+and content, and a sketch: the least hashes of its word pairs, each hashed again with its path of tags, classes and ids.
+Spark counts, per host, on how many different pages each of them occurs. Those on at least `least_pages` and on `share` of the host's
+pages recur. A subtree whose hash recurs, or of whose sketch three quarters do (so a word may vary), is template, and its blocks are deleted; no
+name is needed for that.
+
+What marks itself as no content (navigation, forms, scripts, adverts, comments and so on) is deleted by tag, role, or the
+whole tokens of class and id. A token counts by its last word, after words for mere structure: "user-comments" and "ad-slot" are
+noise, "share-price-table", "ad-free" and "has-sidebar" are not. No element that holds an article or main is deleted by its
+name. If there is an article or main element, the text is what is left in it, and there only
 containers can be template, since paragraphs that articles share are text; else it is what is left of the body.
 
-The share bounds a host's templates: 1 / share times the subtrees of its average page. So they travel as one array per host.
+The share bounds a host's templates: 1 / share times the subtrees of its average page. So they travel as one array per host,
+and its bytes are measured before it is broadcast.
 
 Text: character references decoded, white space within a block made one space, blocks trimmed, empty blocks left out, the
 rest joined by line feeds in page order. A block ends at any block-level tag or line break.
 
 Edge cases: null and empty html give an empty text; broken markup and unclosed elements are read as browsers do: a new
-block closes an open paragraph, an end tag closes what is open within; a null or odd url is of the host ''; repeated rows
-count as pages and keep their rows; an empty table gives an empty result; extra columns are kept by extracted().
+block closes an open paragraph, an end tag closes what is open within; a null or odd url is of the host ''; equal pages of a host
+count once and keep their rows; an empty table gives an empty result; extra columns are kept by extracted().
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tapeforms.llm import shared
+from tapeforms.llm.quality import let
 
 LEAST_PAGES = 10
 SHARE = 0.3
+#: Hashes of a sketch, and the part of them that has to recur.
+SKETCH = 8
+ALIKE = 0.75
 
 # Element names of HTML, and the words by which sites mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINER = frozenset("address aside body details dialog div dl fieldset figure footer form header hgroup main nav ol section table tbody tfoot thead ul center".split())
 BLOCK = CONTAINER | frozenset("article blockquote br caption dd dt figcaption h1 h2 h3 h4 h5 h6 hr html legend li p pre summary td th tr".split())
 SKIPPED = frozenset("aside audio button canvas datalist dialog embed footer form head iframe input label map math menu nav noscript object option script select style svg template textarea title video".split())
-NOISE = frozenset("ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form login menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion related responses sharing share sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+NOISE = frozenset("ad ads advert advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus footer form login menu modal nav navbar navigation newsletter notice notification pagination popup promo promoted promotion related replies reply responses search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+STRUCTURE = frozenset("area bar block body bottom box btn button buttons col column container content group header holder icons inner item items left link links list outer panel posts right root row section slot title top unit wrap wrapper".split())
+STATES = frozenset("disable has hide is js no show with without".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 WORDS = re.compile("[^A-Za-z0-9]+")
 
 
+def is_noise(token: str) -> bool:
+    """Whether a class or id says that its element is no content: by its last word, after words for mere structure."""
+    words = [w for w in WORDS.split(token.lower()) if w and not w.isdigit()]
+    while len(words) > 1 and words[-1] in STRUCTURE:
+        words.pop()
+    return bool(words) and words[-1] in NOISE and words[0] not in STATES
+
+
 class Page(HTMLParser):
     """The elements of a page: events are texts and the numbers of elements, opening (n) and closing (~n)."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.tags: list[str] = []
-        self.noise: list[bool] = []
-        self.hashes: list[bytes] = []
+        self.names: list[str] = []  # tag, class and id
+        self.skipped: list[bool] = []  # by tag or role
+        self.marked: list[bool] = []  # by class or id
         self.events: list[str | int] = []
         self.open: list[int] = []
-        self.digests: list = []
+        self.counts = {"article": 0, "main": 0}
         self.feed(html)
         self.close()
         while self.open:
@@ -66,14 +89,18 @@ class Page(HTMLParser):
         if tag in ("li", "tr", "td", "th", "dt", "dd", "option"):
             self._close_to(tag, barrier={"ul", "ol", "table", "dl", "select", *({"tr"} if tag in ("td", "th") else ())})
         values = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden")}
-        words = {w for k in ("class", "id") for w in WORDS.split(values.get(k, "").lower())}
         n = len(self.tags)
         self.tags.append(tag)
-        self.noise.append(tag in SKIPPED or (tag not in ("html", "body", "main") and not words.isdisjoint(NOISE)) or values.get("role", "").lower() in ROLES or "hidden" in values or (tag == "header" and not self._in_article()))
-        self.hashes.append(b"")
+        self.names.append(f"{tag}.{values.get('class', '')}#{values.get('id', '')}")
+        outside = not (self.counts["article"] or self.counts["main"])
+        self.skipped.append(tag in SKIPPED or values.get("role", "").lower() in ROLES or "hidden" in values or (tag == "header" and outside))
+        self.marked.append(tag not in ("html", "body", "main") and any(is_noise(w) for k in ("class", "id") for w in values.get(k, "").split()))
         self.events.append(n)
-        self.digests.append(hashlib.blake2b(f"{tag}\0{values.get('class', '')}\0{values.get('id', '')}\0".encode("utf-8", "replace"), digest_size=8))
         self.open.append(n)
+        if tag in self.counts:
+            self.counts[tag] += 1
+            for outer in self.open[:-1]:  # what holds an article goes by no name
+                self.marked[outer] = False
         if tag in VOID:
             self._shut()
 
@@ -86,11 +113,6 @@ class Page(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.events.append(data)
-        if self.digests:
-            self.digests[-1].update(" ".join(data.split()).encode("utf-8", "replace"))
-
-    def _in_article(self) -> bool:
-        return any(self.tags[n] in ("article", "main") for n in self.open)
 
     def _close_to(self, tag: str, barrier: set[str] | frozenset[str] = frozenset()) -> None:
         for n in reversed(self.open):
@@ -103,64 +125,47 @@ class Page(HTMLParser):
 
     def _shut(self) -> int:
         n = self.open.pop()
-        self.hashes[n] = own = self.digests.pop().digest()
-        if self.digests:
-            self.digests[-1].update(own)
+        if self.tags[n] in self.counts:
+            self.counts[self.tags[n]] -= 1
         self.events.append(~n)
         return n
 
     def scope(self) -> str | None:
         """The element that holds the text: article, else main, else None for the whole page. One that is noise doesn't count."""
-        return next((t for t in ("article", "main") if any(x == t and not bad for x, bad in zip(self.tags, self.noise, strict=True))), None)
-
-    def candidates(self) -> set[bytes]:
-        """Hashes of the subtrees that may be template."""
-        return {self.hashes[n] for n, free in self._walk() if self._may_be_template(n, free)}
-
-    def _may_be_template(self, n: int, free: bool) -> bool:
-        tag = self.tags[n]
-        return tag not in ("body", "html", "main", "article", "br", "hr") and (tag in CONTAINER or (free and tag in BLOCK))
-
-    def _walk(self) -> Iterator[tuple[int, bool]]:
-        """Elements that are not within noise, and whether they are outside any article."""
-        skip, inside = None, 0
-        for e in self.events:
-            if isinstance(e, str):
-                continue
-            if e >= 0:
-                if skip is None:
-                    yield e, not inside
-                    skip = e if self.noise[e] else None
-                inside += self.tags[e] in ("article", "main")
-            else:
-                inside -= self.tags[~e] in ("article", "main")
-                if ~e == skip:
-                    skip = None
+        return next((t for t in ("article", "main") if any(x == t and not bad and not worse for x, bad, worse in zip(self.tags, self.skipped, self.marked, strict=True))), None)
 
-    def text(self, template: frozenset[bytes] | set[bytes]) -> str:
+    def parts(self) -> tuple[list[tuple[str, list[int]]], list[list[int]]]:
+        """The blocks of text in scope, each with the numbers of the subtrees about it, and for each subtree its hash and sketch."""
         scope = self.scope()
-        blocks: list[str] = []
-        parts: list[str] = []
+        blocks: list[tuple[str, list[int]]] = []
+        subtrees: list[list[int]] = []
+        held: list[str] = []
         skip, inside, article = None, 0, 0
+        about: list[tuple[int, int, int]] = []  # element, subtree, first block
+        path: list[str] = []
 
         def end() -> None:
-            line = " ".join("".join(parts).split())
+            line = " ".join("".join(held).split())
             if line:
-                blocks.append(line)
-            parts.clear()
+                blocks.append((line, [subtree for _, subtree, _ in about]))
+            held.clear()
 
         for e in self.events:
             if isinstance(e, str):
                 if skip is None and (inside or scope is None):
-                    parts.append(e)
+                    held.append(e)
                 continue
             n = e if e >= 0 else ~e
             tag = self.tags[n]
             if tag in BLOCK:
                 end()
             if e >= 0:
-                if skip is None and (self.noise[n] or (self.hashes[n] in template and self._may_be_template(n, not article))):
+                path.append(self.names[n])
+                if skip is None and (self.skipped[n] or self.marked[n]):
                     skip = n
+                if skip is None and (inside or scope is None) and tag not in ("body", "html", "main", "article", "br", "hr") and (tag in CONTAINER or (not article and tag in BLOCK)):
+                    about.append((n, len(subtrees), len(blocks)))
+                    subtrees.append([])
                 inside += tag == scope
                 article += tag in ("article", "main")
             else:
@@ -168,43 +173,75 @@ class Page(HTMLParser):
                 article -= tag in ("article", "main")
                 if n == skip:
                     skip = None
+                if about and about[-1][0] == n:
+                    _, subtree, first = about.pop()
+                    subtrees[subtree] = _hashes("/".join(path), [x for x, _ in blocks[first:]])
+                path.pop()
         end()
-        return "\n".join(blocks)
+        return blocks, subtrees
+
+
+def _hashes(path: str, blocks: list[str]) -> list[int]:
+    """The hash of a subtree's content and its sketch, both with its path; none for a subtree without text."""
+    if not blocks:
+        return []
+    words = " ".join(blocks).split()
+    pairs = {xxhash.xxh64_intdigest(f"{a} {b}") for a, b in zip(words, words[1:], strict=False)} or {xxhash.xxh64_intdigest(words[0])}
+    where = xxhash.xxh64_intdigest(path)
+    content = hashlib.blake2b("\n".join([path, *blocks]).encode("utf-8", "replace"), digest_size=8).digest()
+    return [int.from_bytes(content, "little", signed=True), *(((h ^ where) * 0x9E3779B97F4A7C15 + 1 & (1 << 64) - 1) - (1 << 63) for h in sorted(pairs)[:SKETCH])]
 
 
 def host_of(url: str | Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, url: str, html: str, least_pages: int, share: float) -> DataFrame:
-    """(host, template): the hashes of the subtrees that recur on many pages of a host."""
+def parsed(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(_row, host, page, blocks, subtrees): pages without html, packed, with a hash of the html and what Page.parts() gives."""
+    others = [c for c in pages.columns if c not in (html, "text")]
+    kept = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.struct(F.lit(1).alias("_"))
+    rows = pages.select(kept.alias("_row"), host_of(F.col(f"`{url}`")).alias("host"), F.xxhash64(f"`{html}`").alias("page"), F.col(f"`{html}`").alias("html"))
+    block = T.StructType([T.StructField("text", T.StringType()), T.StructField("about", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("blocks", T.ArrayType(block)), T.StructField("subtrees", T.ArrayType(T.ArrayType(T.LongType())))])
+    kinds = pa.list_(pa.struct([("text", pa.string()), ("about", pa.list_(pa.int32()))])), pa.list_(pa.list_(pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[None, *Page(t.as_py() or "").candidates()] for t in batch.column(1)]  # None stands for the page
-            lists = pa.array(found, pa.list_(pa.binary()))
-            of = np.repeat(np.arange(len(found)), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), lists.flatten()], names=["host", "hash"])
-
-    counts = pages.select(host_of(url).alias("host"), html).mapInArrow(run, "host string, hash binary").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.where(f"hash is not null and n >= {int(least_pages)}").join(total, "host").where(F.col("n") >= share * F.col("pages"))
+            for part, texts in shared.slices(batch, 3, 1 << 20):
+                found = [Page(t.as_py()).parts() for t in texts]
+                blocks = pa.array([[{"text": x, "about": about} for x, about in b] for b, _ in found], kinds[0])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), blocks, pa.array([s for _, s in found], kinds[1])], names=["_row", "host", "page", "blocks", "subtrees"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def templates(pages: DataFrame, least_pages: int, share: float) -> DataFrame:
+    """(host, template): the hashes of parsed() pages that recur on many different pages of a host."""
+    different = F.count_distinct("page")
+    total = pages.groupBy("host").agg(different.alias("pages"))
+    hashes = pages.select("host", "page", F.explode(F.array_distinct(F.flatten("subtrees"))).alias("hash"))
+    counts = hashes.groupBy("host", "hash").agg(different.alias("n")).where(F.col("n") >= least_pages)
+    often = counts.join(total, "host").where(F.col("n") >= share * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("hash").alias("template"))
 
 
-def extracted(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """pages with html replaced by text, the main text; a column of that name gives way to it."""
-    known = shared.cut(templates(pages, url, html, least_pages, share))
-    rows = shared.packed(pages)
-    placed = shared.sized_join(rows.withColumn("host", host_of(F.col(f"_row.{url}"))), known, ["host"], "left")
-    others = [c for c in pages.columns if c not in (html, "text")]
-    kept = F.struct(*(F.col(f"_row.`{c}`") for c in others)) if others else F.struct(F.lit(1).alias("_"))
-    ready = placed.select(kept.alias("_row"), F.col(f"_row.{html}").alias("html"), "template")
-    schema = T.StructType([ready.schema["_row"], T.StructField("text", T.StringType())])
+def is_template(subtree: Column, template: Column) -> Column:
+    """Whether a subtree (hash, then sketch) recurs, given the hashes that do."""
+    sketch = F.slice(subtree, 2, SKETCH)
+    known = F.size(F.array_intersect(sketch, template))
+    return F.array_contains(template, F.get(subtree, F.lit(0))) | (known >= F.greatest(F.lit(1), F.ceil(F.size(sketch) * ALIKE)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [Page(h.as_py() or "").text(frozenset(t.as_py() or ())) for h, t in zip(batch.column("html"), batch.column("template"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "text"])
 
-    return ready.mapInArrow(run, schema).select(*(F.col(f"_row.`{c}`") for c in others), "text")
+def extracted(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    """pages with html replaced by text, the main text; a column of that name gives way to it. What is parsed is written to the shared folder, once."""
+    spark = pages.sparkSession
+    folder = f"{shared.shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    parsed(pages, url, html).write.parquet(folder)
+    held = spark.read.parquet(folder)
+    known = shared.cut(templates(held, least_pages, share))
+    placed = shared.sized_join(held, known, ["host"], "left")
+    gone = F.filter(F.sequence(F.lit(0), F.size("subtrees") - 1), lambda i: (F.size("subtrees") > 0) & is_template(F.get("subtrees", i), F.col("template")))
+    left = F.when(F.col("template").isNull() | (F.size("subtrees") == 0), F.col("blocks")).otherwise(let(gone, lambda g: F.filter("blocks", lambda b: ~F.arrays_overlap(b["about"], g))))
+    text = F.array_join(F.transform(left, lambda b: b["text"]), "\n")
+    others = [c for c in pages.columns if c not in (html, "text")]
+    return placed.select("_row", text.alias("_text")).select(*(F.col(f"_row.`{c}`") for c in others), F.col("_text").alias("text"))
