@@ -5,7 +5,8 @@ shared again by weight among the others. Each document of a source is to be take
 whole part of f always, one time more with probability p, the fraction. The fractions are rounded together: two documents are
 paired and words move from one to the other, in a random direction that keeps both expectations, until one of the two
 probabilities is 0 or 1; the other goes on to the next pair. So the words taken stay what they were, but for the last
-document of each source, which is drawn by its probability: a source misses its target by less than one document.
+document of each source, which is drawn by its probability. What that draw adds to or takes from the source is then made good
+by turning the decisions of a bounded number of other documents of all sizes, each only if that brings the source nearer to its target.
 
 Pairing is a tree: a chunk of about FAN documents is folded into its decisions and one open document, FAN chunks' open
 documents are folded in turn, and so on until one is left per source. Chunks and draws come from hashes, so reruns and
@@ -30,6 +31,8 @@ WEIGHTS = (1, 2, 3)
 FAN = 256
 SEED = 5
 CLOSE = 1e-9
+#: Parts of a class of sizes, of which each offers a document that may be turned.
+DEALT = 16
 
 
 def words(text: str) -> Column:
@@ -79,7 +82,8 @@ def settled(item: Column) -> Column:
 def folded(items: DataFrame, seed: int) -> DataFrame:
     """(sid, chunk, decided, rest) from items (sid, chunk, it): each chunk's documents paired one after another.
 
-    The order is by falling size: an open document then meets smaller ones, whose words settle it, and what stays open at the end is small.
+    The order is by falling size: an open document then meets documents of about its size first, which may settle it. Where there are few of these, a large
+    one stays open to the end; see made_good().
     """
     held = items.groupBy("sid", "chunk").agg(F.sort_array(F.collect_list("it")).alias("its"))
     kind = items.schema["it"].dataType.simpleString()
@@ -125,12 +129,39 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", source: str = "source", t
             break
         width = -(-width // fan)
         live = rest.withColumn("chunk", F.floor(F.col("chunk") / fan))
-    decided.append(rest.select("sid", F.col("it").withField("p", F.when(uniform(F.lit(seed + 3), F.col("it.h")) < F.col("it.p"), 1.0).otherwise(0.0)).alias("it")))
+    last = shared.cut(rest.select("sid", "it", (uniform(F.lit(seed + 3), F.col("it.h")) < F.col("it.p")).alias("up")))
+    decided.append(last.select("sid", F.col("it").withField("p", F.when(F.col("up"), 1.0).otherwise(0.0)).alias("it")))
     together = decided[0]
     for more in decided[1:]:
         together = together.unionByName(more)
-    copies = (F.col("whole") + F.round(F.col("it.p"))).cast("int")
-    return shared.sized_join(together, per.drop("p", "n"), ["sid"], "inner").select(F.col("it.h").alias("_h"), F.col("it.g").alias("_g"), "it.id", "it.m", "it.size", "source_size", "target", copies.alias("copies"))
+    together = shared.cut(together)
+    turned = shared.cut(made_good(together, last))
+    ends = shared.sized_join(together.withColumns({"h": F.col("it.h"), "g": F.col("it.g")}), turned, ["sid", "h", "g"], "left")
+    up = F.coalesce(F.col("to"), F.round(F.col("it.p")))
+    copies = (F.col("whole") + up).cast("int")
+    return shared.sized_join(ends, per.drop("p", "n"), ["sid"], "inner").select(F.col("it.h").alias("_h"), F.col("it.g").alias("_g"), "it.id", "it.m", "it.size", "source_size", "target", copies.alias("copies"))
+
+
+def made_good(decided: DataFrame, last: DataFrame) -> DataFrame:
+    """(sid, h, g, to): decisions to turn, so that the words that the draw of each source's last document (sid, it, up) added or took are few in the end.
+
+    In each class of sizes between powers of two, DEALT taken and as many untaken documents can be turned, each the smallest of its part. From the largest down, each is that brings the source nearer to
+    its target, so what is off only gets less.
+    """
+    off = F.when(F.col("up"), (1 - F.col("it.p")) * F.col("it.a")).otherwise(-F.col("it.p") * F.col("it.a"))
+    open_ = shared.cut(last.select("sid", off.alias("off"), F.col("it.h").alias("last")))
+    up = F.col("it.p") > 0.5
+    free = shared.sized_join(decided.where("it.a > 0").select("sid", up.alias("up"), "it"), open_, ["sid"], "inner").where("it.h <> last and it.a < 2 * abs(off)")
+    least = free.groupBy("sid", "up", F.floor(F.log2("it.a")).alias("class"), F.pmod("it.h", F.lit(DEALT)).alias("part")).agg(F.min(F.struct("it.a", "it.h", "it.g")).alias("x"))
+    lists = least.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("x.a", "up", "x.h", "x.g")), asc=False).alias("xs")).join(open_, "sid")
+    kind = "struct<a:double,up:boolean,h:bigint,g:bigint>"
+
+    def step(state: Column, x: Column) -> Column:
+        then = state["off"] + F.when(x["up"], -x["a"]).otherwise(x["a"])
+        return F.when(F.abs(then) < F.abs(state["off"]), F.struct(then.alias("off"), F.concat(state["out"], F.array(x)).alias("out"))).otherwise(state)
+
+    turned = lists.select("sid", F.explode(F.aggregate("xs", F.struct(F.col("off"), F.array().cast(f"array<{kind}>").alias("out")), step, lambda s: s["out"])).alias("x"))
+    return turned.select("sid", "x.h", "x.g", F.when(F.col("x.up"), 0.0).otherwise(1.0).alias("to"))
 
 
 def taken(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
