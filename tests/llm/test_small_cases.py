@@ -10,9 +10,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tapeforms.llm import bpe, chat, embed_dedup, html_extract, line_dedup, mixing, quality, shared, simhash, token_store, warc
 
@@ -185,7 +187,24 @@ def test_bpe_equals_the_library(docs, none):
         assert own.text(s) == np.array(library.encode_ordinary(s), dtype="<u4").tobytes(), s
     for _ in range(300):
         s = bytes(rng.choice(b"abcdetion") for _ in range(rng.randint(1, 300)))
-        assert list(own.tree(s)) == list(own.merged_by_heap(s)) == library._encode_single_piece(s)
+        assert list(own.tree(s, bpe.LEAF)) == list(own.tree(s, 40)) == list(own.merged_by_heap(s)) == library._encode_single_piece(s)
+    odd = [" ", "\n", "\t", "\r\n", "\xa0", "\u3000", "a", "B", "é", "中", "1", ".", ",", "'s", "ab", "\x1c", "\x85", "🙂", "\u0301", "<|endoftext|>"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    assert own.texts(pa.array(texts, pa.large_string())) == [np.array(library.encode_ordinary(s), dtype="<u4").tobytes() for s in texts]
+    long = "ab" * 3000
+    assert own.piece(long) == np.array(library.encode_ordinary(long), dtype="<u4").tobytes()
+
+
+def test_word_encoder_equals_the_library():
+    rng = random.Random(3)
+    own = token_store.WordEncoder(P.path("word_bpe_49k.json"))
+    odd = [" ", "\n", "\t", "\r\n", "\xa0", "a", "B", "é", "中", "1", ".", ",", "x.", "Y,", "'s", "\x1c", "\x85", "🙂", "\u0301", "\u0307", "I", "İ", "\u212a", "\x01", "<|endoftext|>", "<|ENDOFTEXT|>", "ﬁ"]
+    assert own.by_word
+    for _ in range(60):
+        texts = ["".join(rng.choice(odd) for _ in range(rng.randint(0, 40))) for _ in range(50)]
+        ids, begins = own.texts(pa.array(texts, pa.large_string()))
+        assert [ids[a:b].tobytes() for a, b in zip(begins, begins[1:], strict=False)] == own.encode(texts)
+    assert not token_store.splits_at_spaces({"pre_tokenizer": {"type": "ByteLevel"}})
 
 
 def test_token_store(spark, docs, none, tmp_path):
@@ -313,12 +332,34 @@ def test_estimates_are_unbiased_and_within_their_bounds():
     x = rng.standard_normal((2000, 64))
     y = x * 0.9 + 0.4 * rng.standard_normal((2000, 64))
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
-    both = embed_dedup.Codes(np.concatenate([x, y]) @ embed_dedup.rotations(64, 1).T)
     true = (x * y).sum(1)
-    i, j = np.arange(2000), np.arange(2000, 4000)
-    zero = both.upper(i, j, 0.0) - both.step[j] / 2 * 8 / both.factor[i]
-    assert abs((zero - true).mean()) < 0.01
-    assert (both.upper(i, j, embed_dedup.SIGMAS) >= true).all()
+    codes = [embed_dedup.Codes.read(64, embed_dedup.Codes.of(v).stored()) for v in (x, y)]
+    estimate, error = codes[0].estimates(codes[1]).diagonal(), codes[0].errors(codes[1], 0.85).diagonal()
+    assert abs((estimate - true).mean()) < 0.01
+    near = true >= 0.85
+    assert near.sum() > 1000 and (estimate + embed_dedup.SIGMAS * error >= true)[near].all()
+    spread = ((estimate - true) / error)[near].std()
+    assert 0.5 < spread < 1.1
+
+
+def test_planted_pairs_among_many_vectors_are_found_with_and_without_bands(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((2500, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal((2500, 64))
+    other -= (other * base).sum(axis=1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    c = rng.uniform(0.931, 0.97, (2500, 1))
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * other])
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    want = dict(enumerate((((x @ x.T) >= 0.93).sum(axis=1) - 1).tolist()))
+    assert sum(want.values()) >= 5000
+    for bits in (0, 8):
+        monkeypatch.setattr(embed_dedup, "COPY", 500 if bits == 0 else -100_000)
+        chosen = spark.range(1).select(embed_dedup.plan(F.lit(5000.0), 0.93, embed_dedup.MISS)["bits"]).first()[0]
+        assert (chosen > 0) == (bits > 0)
+        got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, block=1024).collect()}
+        assert got == want
 
 
 def test_html(spark):
@@ -337,6 +378,47 @@ def test_html(spark):
     assert html_extract.extracted(df.limit(0)).count() == 0
 
 
+def test_html_names_delete_no_content(spark):
+    bodies = {
+        "<div class='content has-sidebar'><p>real text</p></div>": "real text", "<article class='post no-sidebar'><p>real text</p></article>": "real text",
+        "<div class='site with-menu'><div class=menu>m</div><article><p>real text</p></article></div>": "real text",
+        "<div class='sidebar-layout menu'><article><p>real text</p></article></div>": "real text",
+        "<article><p>one</p><div class='share-price-table'><p>two</p></div><div class='ad-free'>three</div></article>": "one\ntwo\nthree",
+        "<article><p>one</p><section class='discussion'><p>no</p></section><div class=reply>no</div><div class='ad-slot'>no</div><ul class='share-buttons'><li>no</ul></article>": "one",
+        "<article><p>one</p><div id='user-comments'><p>no</p></div><div class='site-nav'>no</div><div class='related-posts'>no</div></article>": "one",
+    }
+    df = spark.createDataFrame([(i, "http://h/", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extracted(df).collect()} == dict(enumerate(bodies.values()))
+
+
+def test_html_templates_without_telling_names(spark):
+    """Against a plain count: menus, offers and closing lines that vary in a word go on hosts with many pages; text stays, and so do equal pages."""
+    rng = random.Random(6)
+    rows, want = [], []
+    for host, n in (("a.example", 300), ("b.example", 25), ("c.example", 3)):
+        menu = [prose(2) for _ in range(8)]
+        offer, closing = prose(20).split(), prose(15).split()
+        for i in range(n):
+            text = [prose(rng.randint(20, 60)) for _ in range(3)]
+            top = "".join(f"<div>{m if k != i % 8 else 'here now'}</div>" for k, m in enumerate(menu))
+            vary = [" ".join([*words[:7], f"w{i}", *words[8:]]) for words in (offer, closing)]
+            if host == "b.example" and i >= 15:  # an article with an offer in it
+                html, shown = f"<article><p>{text[0]}</p><div><p>{vary[0]}</p></div><p>{text[1]}</p></article>", [text[0], text[1]]
+                plain = [text[0], vary[0], text[1]]
+            else:
+                html = f"<div class=q1>{top}</div><div class=q2><p>{vary[0]}</p></div><div class=q3><p>{text[0]}</p><p>{text[1]}</p>{text[2]}</div><div class=q4>{vary[1]}</div>"
+                shown, plain = text, None
+            if n < html_extract.LEAST_PAGES:
+                shown = [*(m if k != i % 8 else "here now" for k, m in enumerate(menu)), vary[0], *text, vary[1]]
+            rows.append((len(rows), f"http://{host}/{i}", html))
+            want.append("\n".join(shown))
+    same = "<div><p>the same page</p><p>many times over</p></div>"
+    rows += [(len(rows) + k, "http://d.example/", same) for k in range(40)]
+    want += ["the same page\nmany times over"] * 40
+    got = {r.page_id: r.text for r in html_extract.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/\r\nx", "same"), (2, None, "same"), (3, "http://c", "é" * 5000), (9, "http://d", "same"), (4, "u", None), (5, "u", ""), (6, "u", "WARC/1.1\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n"), (9, "http://d", "same"), (None, "u", "same")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
