@@ -17,28 +17,6 @@ def fill_price(price: Column, side: Column, cost_bps: float) -> Column:
     return F.when(side == "buy", price * (1 + cost_bps * 1e-4)).otherwise(price * (1 - cost_bps * 1e-4))
 
 
-def fills(orders: DataFrame, indexed: DataFrame, cost_bps: float) -> DataFrame:
-    """orders (order_id, symbol, idx, side, qty) with status, fill_idx, fill_price: an order at a bar fills at the next bar's open.
-
-    An order without quantity, without a next bar, or a sale of more than what earlier orders left is not filled. The
-    position is a running sum over what could fill; a sale that it doesn't cover is rejected.
-    """
-    nxt = indexed.select("symbol", (F.col("idx") - 1).alias("idx"), F.col("open").alias("_open"))
-    placed = orders.join(nxt, ["symbol", "idx"], "left")
-    can = (F.col("qty") > 0) & F.col("_open").isNotNull()
-    start = F.struct(F.lit(0.0).alias("held"), F.array().cast("array<struct<order_id:bigint,ok:boolean>>").alias("out"))
-
-    def step(s: Column, o: Column) -> Column:
-        ok = o["can"] & ((o["side"] == "buy") | (o["qty"] <= s["held"]))
-        moved = F.when(~ok, 0.0).when(o["side"] == "buy", o["qty"]).otherwise(-o["qty"])
-        return F.struct((s["held"] + moved).alias("held"), F.concat(s["out"], F.array(F.struct(o["order_id"].alias("order_id"), ok.alias("ok")))).alias("out"))
-
-    by_session = placed.join(indexed.select("symbol", "idx", "session"), ["symbol", "idx"])
-    lists = by_session.groupBy("symbol", "session").agg(F.sort_array(F.collect_list(F.struct("idx", "order_id", "side", "qty", can.alias("can")))).alias("os"))
-    ok = lists.select(F.inline(F.aggregate("os", start, step)["out"]))
-    return placed.join(ok, "order_id").select("order_id", "symbol", "idx", "side", "qty", F.when(F.col("ok"), "filled").otherwise("rejected").alias("status"), F.when(F.col("ok"), F.col("idx") + 1).alias("fill_idx"), F.when(F.col("ok"), fill_price(F.col("_open"), F.col("side"), cost_bps)).alias("fill_price"))
-
-
 def forced_flat(indexed: DataFrame, positions: DataFrame, cost_bps: float) -> DataFrame:
     """positions (symbol, entry_idx, entry_price, qty) that are still held at their session's last bar: sold at its close."""
     entry = indexed.select("symbol", "session", F.col("idx").alias("entry_idx"))
@@ -146,3 +124,12 @@ def p_value(means: DataFrame, strategy: DataFrame) -> DataFrame:
     """(symbol, p_value, n_resamples) against strategy (symbol, mean_net_ret): ties count against the strategy, and p is never 0."""
     beaten = F.count_if(F.round("mean_ret", 12) >= F.round("mean_net_ret", 12))
     return means.join(strategy, "symbol").groupBy("symbol").agg(((1 + beaten) / (F.count(F.lit(1)) + 1)).alias("p_value"), F.count(F.lit(1)).alias("n_resamples"))
+
+
+def saved_trades(trades_: DataFrame, indexed: DataFrame, run_id: int) -> DataFrame:
+    """(run_id, symbol, side, signal_ts, entry_ts, exit_ts, entry_price, exit_price, gross_return, net_return): the trades of a run as the log of trades keeps them."""
+    at = indexed.select("symbol", "idx", "ts")
+    out = trades_
+    for name in ("signal", "entry", "exit"):
+        out = out.join(at.select("symbol", F.col("idx").alias(f"{name}_idx"), F.col("ts").alias(f"{name}_ts")), ["symbol", f"{name}_idx"])
+    return out.select(F.lit(run_id).cast("long").alias("run_id"), "symbol", F.lit("LONG").alias("side"), "signal_ts", "entry_ts", "exit_ts", "entry_price", "exit_price", F.col("gross_ret").alias("gross_return"), F.col("net_ret").alias("net_return"))

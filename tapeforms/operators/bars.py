@@ -62,6 +62,23 @@ def until(bars: DataFrame, end_ts: Column) -> DataFrame:
     return bars.where(F.col("ts") <= end_ts)
 
 
+def at(bars: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The bars of exactly the times wanted (symbol, ts); a time without a bar is an error, not a row less."""
+    found = wanted.select("symbol", "ts").join(bars.withColumn("_found", F.lit(True)), ["symbol", "ts"], "left")
+    missing = F.raise_error(F.concat(F.lit("no bar of "), F.col("symbol"), F.lit(" at "), F.col("ts").cast("string"))).cast("boolean")
+    return found.where(F.when(F.col("_found").isNull(), missing).otherwise(F.lit(True))).drop("_found")
+
+
+def before_split(bars: DataFrame, split_date: str) -> DataFrame:
+    """The training part: sessions up to and with the split date."""
+    return bars.where(F.to_date(new_york()) <= F.lit(split_date).cast("date"))
+
+
+def first_test_idx(indexed: DataFrame, split_date: str) -> DataFrame:
+    """(symbol, first_test_idx): the first place after the split date; null without one."""
+    return indexed.groupBy("symbol").agg(F.min(F.when(F.col("session") > F.lit(split_date).cast("date"), F.col("idx"))).alias("first_test_idx"))
+
+
 def last_bar(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.max("ts").alias("last_ts"))
 

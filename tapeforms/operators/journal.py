@@ -102,6 +102,34 @@ def status(orders: DataFrame) -> DataFrame:
     return orders.groupBy("symbol").agg(F.count_if(filled).alias("n_filled"), F.count_if(filled & F.col("intent").isin("time_stop", "force_flat")).alias("n_closed"), F.count_if(F.col("status") == "open").alias("n_open"))
 
 
+def full_status(orders: DataFrame, snapshots: DataFrame, armed: DataFrame) -> DataFrame:
+    """Per symbol: whether its configuration may trade, the position and equity of the last snapshot, and the counts of orders.
+
+    snapshots (symbol, ts, qty, avg_entry, account_equity); armed (symbol, armed).
+    """
+    last = F.max_by(F.struct("qty", "avg_entry", "account_equity"), "ts")
+    now = snapshots.groupBy("symbol").agg(F.max("ts").alias("last_snapshot"), last.alias("_l"))
+    position = F.coalesce(F.col("_l.qty"), F.lit(0.0))
+    rows = now.select("symbol", "last_snapshot", position.alias("qty"), F.col("_l.avg_entry").alias("avg_entry"), F.col("_l.account_equity").alias("equity"))
+    out = rows.join(status(orders), "symbol", "left").join(armed.select("symbol", "armed"), "symbol", "left")
+    return out.fillna(0, ["n_filled", "n_closed", "n_open"]).fillna(False, ["armed"])
+
+
+def weekly_rows(trades: DataFrame, snapshots: DataFrame, bars: DataFrame, backtest_mean: DataFrame, end: Column, days: int = 7) -> DataFrame:
+    """The weekly report, a row per symbol: figures of the week's trades, how far they are from the backtest (symbol, backtest_mean), equity over the
+    week's snapshots (symbol, ts, account_equity), and the benchmark between the first and last of them."""
+    inside = (F.col("ts") <= end) & (F.col("ts") >= end - F.expr(f"interval {days} days"))
+    week = snapshots.where(inside).select("symbol", "ts", F.col("account_equity").alias("equity"))
+    held = against_benchmark(week, bars).join(weekly(trades, end, days), "symbol", "full").join(backtest_mean, "symbol", "left")
+    away = F.col("mean_net_ret") - F.col("backtest_mean")
+    return held.select("symbol", F.coalesce("n_trades", F.lit(0)).alias("n_trades"), "hit_rate", "mean_net_ret", "total_pnl", "backtest_mean", away.alias("divergence"), "equity_start", "equity_end", "bh_return")
+
+
+def equity_series(snapshots: DataFrame, end: Column, days: int = 7) -> DataFrame:
+    """(symbol, ts, equity) of the week's snapshots."""
+    return snapshots.where((F.col("ts") <= end) & (F.col("ts") >= end - F.expr(f"interval {days} days"))).select("symbol", "ts", F.col("account_equity").alias("equity"))
+
+
 def overlay(bars: DataFrame, matches: DataFrame, window: int, horizon: int) -> DataFrame:
     """(symbol, end_idx, step, level): closes from `window` bars before to `horizon` after each match's end, over the first of them."""
     span = matches.select("symbol", "end_idx", F.explode(F.sequence(F.lit(-window), F.lit(horizon))).alias("step")).withColumn("idx", F.col("end_idx") + F.col("step"))

@@ -108,9 +108,14 @@ def match_stats(kept: DataFrame) -> DataFrame:
 def unconditional(all_windows: DataFrame, window: int, horizon: int) -> DataFrame:
     """(symbol, q_end, n_candidates, uncond_mean) of what each window may look at, from running sums, without a join of pairs.
 
-    Sums run within sessions and over the table of sessions: what a window may look at ends window + horizon bars before
-    it, so an earlier session counts up to there.
+    Sums run within sessions and over the table of sessions. A forward return ends in its session, horizon bars after its
+    window; so of earlier sessions all that have one may be looked at, and of its own those that end window + horizon bars before.
     """
     use = F.when(F.col("valid"), F.col("fwd_ret"))
-    frame = W.partitionBy("symbol").orderBy("end_idx").rangeBetween(W.unboundedPreceding, -(window + horizon))
-    return all_windows.select("symbol", F.col("end_idx").alias("q_end"), F.count(use).over(frame).alias("n_candidates"), F.avg(use).over(frame).alias("uncond_mean"))
+    frame = W.partitionBy("symbol", "session").orderBy("end_idx").rangeBetween(W.unboundedPreceding, -(window + horizon))
+    earlier = W.partitionBy("symbol").orderBy("session").rowsBetween(W.unboundedPreceding, -1)
+    sums = all_windows.groupBy("symbol", "session").agg(F.count(use).alias("_n"), F.coalesce(F.sum(use), F.lit(0.0)).alias("_s"))
+    before = sums.select("symbol", "session", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_s0"))
+    own = all_windows.select("symbol", "session", F.col("end_idx").alias("q_end"), F.count(use).over(frame).alias("_n"), F.coalesce(F.sum(use).over(frame), F.lit(0.0)).alias("_s"))
+    n, s = F.col("_n0") + F.col("_n"), F.col("_s0") + F.col("_s")
+    return own.join(before, ["symbol", "session"]).select("symbol", "q_end", n.alias("n_candidates"), F.when(n > 0, s / n).alias("uncond_mean"))

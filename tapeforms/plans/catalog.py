@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeforms.functions import candles, metrics, templates
-from tapeforms.llm import shared
 from tapeforms.operators import backtest, journal, ledger, neighbours, signals, windows
 from tapeforms.operators import bars as B
 from tapeforms.plans.settings import Settings
+from tapeforms.sources import folders
 from tapeforms.streaming import live
 
 MINUTES = 15
@@ -27,7 +27,7 @@ KNN = Settings(
 )
 TEMPLATE, CANDLE = replace(KNN, signal_source="template"), replace(KNN, signal_source="candles")
 CASH = 100_000.0
-RESAMPLES = 200
+RESAMPLES = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -353,12 +353,6 @@ def fired(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shown(rows.where(signals.fires(candles.CANDLES[name], ago)).select("symbol", "idx", "ts", *B.PRICES))
 
 
-def test_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At each bar that the place in the session picks: a purchase of 1 to 3, or a sale that what is held may not cover."""
-    x = bars(spark, sf_dir).where("pos % 3 <> 2")
-    return x.select(F.col("idx").alias("order_id"), "symbol", "idx", F.when(F.col("pos") % 3 == 0, "buy").otherwise("sell").alias("side"), ((F.col("idx") * 7) % 4).cast("double").alias("qty"))
-
-
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars(spark, sf_dir).where("pos = 3").select("symbol", F.col("idx").alias("entry_idx"), F.col("open").alias("entry_price"), F.lit(1.0).alias("qty"))
 
@@ -426,16 +420,6 @@ query("candle_signals", f"WITH {CANDLE_SQL} SELECT {SIGNAL_COLUMNS}, pattern, n_
 query("fill_costs", f"WITH {BARS_SQL} SELECT symbol, idx, {num(f'lead(open) OVER s * (1 + {COST})', 'buy')}, {num(f'lead(open) OVER s * (1 - {COST})', 'sell')} FROM x WINDOW s AS (ORDER BY idx)")(
     lambda s, d: (lambda x: shown(x.select("symbol", "idx").join(x.select("symbol", (F.col("idx") - 1).alias("idx"), "open"), ["symbol", "idx"], "left").select("symbol", "idx", backtest.fill_price(F.col("open"), F.lit("buy"), KNN.cost_bps).alias("buy"), backtest.fill_price(F.col("open"), F.lit("sell"), KNN.cost_bps).alias("sell"))))(bars(s, d))
 )
-FILLS_SQL = f"""WITH RECURSIVE {BARS_SQL}, o AS (
-  SELECT session, idx, CASE WHEN pos % 3 = 0 THEN 'buy' ELSE 'sell' END AS side, ((idx * 7) % 4)::DOUBLE AS qty, row_number() OVER (PARTITION BY session ORDER BY idx) AS k, idx < (SELECT max(idx) FROM x) AS has_next FROM x WHERE pos % 3 <> 2
-), f AS (
-  SELECT session, idx, k, side, qty, qty > 0 AND has_next AND side = 'buy' AS ok, CASE WHEN qty > 0 AND has_next AND side = 'buy' THEN qty ELSE 0.0 END AS held FROM o WHERE k = 1
-  UNION ALL
-  SELECT o.session, o.idx, o.k, o.side, o.qty, o.qty > 0 AND o.has_next AND (o.side = 'buy' OR o.qty <= f.held), f.held + CASE WHEN NOT (o.qty > 0 AND o.has_next AND (o.side = 'buy' OR o.qty <= f.held)) THEN 0.0 WHEN o.side = 'buy' THEN o.qty ELSE -o.qty END
-  FROM f JOIN o ON o.session = f.session AND o.k = f.k + 1
-) SELECT f.idx AS order_id, 'EVT' AS symbol, f.idx, side, qty, CASE WHEN ok THEN 'filled' ELSE 'rejected' END AS status, CASE WHEN ok THEN f.idx + 1 END AS fill_idx, {num(f"CASE WHEN ok THEN n.open * CASE WHEN side = 'buy' THEN 1 + {COST} ELSE 1 - {COST} END END", "fill_price")}
-FROM f LEFT JOIN x n ON n.idx = f.idx + 1"""
-query("fills", FILLS_SQL)(lambda s, d: shown(backtest.fills(test_orders(s, d), bars(s, d), KNN.cost_bps)))
 query("force_flat", f"WITH {BARS_SQL}, p AS (SELECT session, idx AS entry_idx, open AS entry_price FROM x WHERE pos = 3) SELECT 'EVT' AS symbol, entry_idx, l.idx AS exit_idx, {num('entry_price', 'entry_price')}, {num(f'l.close * (1 - {COST})', 'exit_price')}, {num(f'l.close * (1 - {COST}) / entry_price - 1', 'net_ret')}, 'force_flat' AS exit_reason FROM p JOIN x l ON l.session = p.session AND l.bars_left = 0")(lambda s, d: shown(backtest.forced_flat(bars(s, d), positions(s, d), KNN.cost_bps)))
 for _name, _s, _base, _of in (("knn", KNN, KNN_SQL, "knn"), ("template", TEMPLATE, TEMPLATE_SQL, "template"), ("candles", CANDLE, CANDLE_SQL, "candle")):
     query(f"wf_asked_{_name}", f"WITH RECURSIVE {_walk_sql(_base, _of)} SELECT 'EVT' AS symbol, session::VARCHAR AS session, idx, direction FROM asked")(lambda s, d, c=_s: shown(walk(s, d, c)[1]))
@@ -499,13 +483,13 @@ IDENTITIES = {c.signal_source: c.identity_json() for c in (KNN, TEMPLATE, CANDLE
 query("config_hash", "SELECT source, substr(sha256(identity), 1, 12) AS config_hash FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in IDENTITIES.items()) + ") AS t(source, identity)")(lambda s, d: s.createDataFrame(list(IDENTITIES.items()), "source string, identity string").select("source", F.substring(F.sha2("identity", 256), 1, 12).alias("config_hash")))
 
 
-@query("stream_closed_bars")
+@query("stream_closed_bars", f"WITH {BARS_SQL} SELECT symbol, ts::VARCHAR AS ts, {PRICE_SQL}, volume FROM b WHERE ts < (SELECT time_bucket(INTERVAL '{MINUTES} minutes', max(ts)) FROM events WHERE value > 0)")
 def stream_closed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars that a stream over events has closed; the last one stays open for want of a later tick."""
     events = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(events).schema
     ticks = spark.readStream.schema(schema).parquet(f"{events}*")
-    return shown(live.written(live.closed_bars(ticks, MINUTES), f"{shared.shared_dir(spark)}/closed-bars-{uuid.uuid4().hex}"))
+    return shown(live.written(live.closed_bars(ticks, MINUTES), f"{folders.shared_dir(spark)}/closed-bars-{uuid.uuid4().hex}"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,4 +1,4 @@
-"""The bar store: Parquet by symbol, replaced version by version; and append-only logs."""
+"""The bar store: Parquet by symbol and month, replaced month by month; and append-only logs."""
 
 from __future__ import annotations
 
@@ -13,7 +13,10 @@ BARS = "symbol string, ts timestamp_ntz, source string, open double, high double
 
 
 class BarStore:
-    """Bars below a folder. A version is written whole and then named in the pointer log, so readers see one or the other."""
+    """Bars below a folder, by symbol and month. An upsert writes only the months that it touches, each whole, and then names them in a
+    manifest, so readers see either what was or what is. One writer is assumed."""
+
+    MANIFEST = "seq long, v string, symbol string, month string"
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
@@ -22,12 +25,18 @@ class BarStore:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop)
 
+    def _manifest(self) -> DataFrame:
+        return self.spark.read.schema(self.MANIFEST).json(f"{self.folder}/manifest")
+
     def read(self) -> DataFrame:
-        """All bars; symbol is a partition, so a filter on it prunes files, and one on ts is pushed to them."""
-        if not self._exists(f"{self.folder}/versions"):
+        """All bars; version, symbol and month are partitions, so files that the manifest has replaced are pruned, and a filter on symbol or ts reaches the rest."""
+        if not self._exists(f"{self.folder}/manifest"):
             return self.spark.createDataFrame([], BARS)
-        last = self.spark.read.schema("seq long, path string").json(f"{self.folder}/versions").agg(F.max_by("path", "seq")).first()[0]
-        return self.spark.read.schema(BARS).parquet(last)
+        names = BARS.split(", ")
+        stored = ", ".join([*(n for n in names if not n.startswith("symbol ")), "v string", "symbol string", "month string"])
+        latest = self._manifest().groupBy("symbol", "month").agg(F.max_by("v", "seq").alias("v"))
+        rows = self.spark.read.schema(stored).parquet(f"{self.folder}/data").join(latest, ["v", "symbol", "month"], "left_semi")
+        return rows.select(*(n.split()[0] for n in names))
 
     def load(self, symbol: str, end_ts: str | None = None) -> DataFrame:
         rows = self.read().where(F.col("symbol") == symbol)
@@ -38,11 +47,16 @@ class BarStore:
         n = batch.count()
         if not n:
             return 0
-        path = f"{self.folder}/v-{uuid.uuid4().hex}"
-        seq = self.spark.read.schema("seq long, path string").json(f"{self.folder}/versions").agg(F.max("seq")).first()[0] + 1 if self._exists(f"{self.folder}/versions") else 0
-        B.upsert(self.read(), batch.select(*self.read().columns)).write.partitionBy("symbol").parquet(path)
+        month = F.date_format("ts", "yyyy-MM").alias("month")
+        old = self.read()
+        new = batch.select(*old.columns)
+        touched = new.select("symbol", month).distinct()
+        version = uuid.uuid4().hex
+        kept = old.select("*", month).join(touched, ["symbol", "month"], "left_semi").select(*old.columns)
+        B.upsert(kept, new).select("*", month).repartition("symbol", "month").write.partitionBy("symbol", "month").parquet(f"{self.folder}/data/v={version}")
         B.ingestion_log(batch).write.mode("append").parquet(f"{self.folder}/ingestions")
-        self.spark.createDataFrame([(seq, path)], "seq long, path string").coalesce(1).write.mode("append").json(f"{self.folder}/versions")
+        seq = self._manifest().agg(F.max("seq")).first()[0] + 1 if self._exists(f"{self.folder}/manifest") else 0
+        touched.select(F.lit(seq).alias("seq"), F.lit(version).alias("v"), "symbol", "month").coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
         return n
 
     def refresh(self, feed: DataFrame) -> int:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tapeforms.operators import bars as B
-from tapeforms.sources.store import BarStore
+from tapeforms.operators import simulator
+from tapeforms.plans.settings import Settings
+from tapeforms.sources.store import BarStore, EventLog
 
 
 def closed_bars(ticks: DataFrame, minutes: int = 1, late: str = "0 seconds", symbol: str = "EVT") -> DataFrame:
@@ -26,8 +28,8 @@ def into_store(bars: DataFrame, store: BarStore, checkpoint: str, source: str =
     """Upserts each batch of closed bars; a batch that is run again replaces the same keys."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        at = F.timestamp_seconds(F.lit(batch_id)).cast("timestamp_ntz")
-        store.upsert(B.regular_hours(batch).withColumns({"source": F.lit(source), "ingested_at": at}))
+        # The clock, not the number of the batch: with a new checkpoint numbers begin again, and older rows would win.
+        store.upsert(B.regular_hours(batch).withColumns({"source": F.lit(source), "ingested_at": F.localtimestamp()}))
 
     return bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).start()
 
@@ -44,3 +46,20 @@ def drained(bars: DataFrame, name: str) -> DataFrame:
     query = bars.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start()
     query.awaitTermination()
     return bars.sparkSession.table(name)
+
+
+def trade(bars: DataFrame, journal: EventLog, checkpoint: str, s: Settings, minutes: int, cash: float = simulator.CASH) -> StreamingQuery:
+    """The trading loop on a stream of closed bars (symbol, idx, ts, minute, open, close, direction).
+
+    The journal, a log with the columns of simulator.REPLAY, is all the state there is: each batch goes on from the last row of
+    every symbol there, so a loop that was killed and started again decides on each bar once, and a batch that is run
+    again adds nothing.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        known = journal.read()
+        names = known.columns
+        last = known.groupBy("symbol").agg(F.max_by(F.struct(*(c for c in names if c != "symbol")), "idx").alias("_r")).select("symbol", "_r.*")
+        journal.append(simulator.replay(batch, batch, s, minutes, cash, last).select(*names))
+
+    return bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).start()

@@ -8,7 +8,7 @@ import os
 
 import pytest
 
-from tapeforms.plans import catalog
+from tapeforms.plans import catalog, trading  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")
@@ -32,7 +32,7 @@ def plain(x):
     return str(x) if not isinstance(x, (dt.date, dt.datetime)) else x.isoformat()
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.oracle_sql() if not n.startswith(("wf_metrics_knn", "wf_asked_template", "wf_metrics_template"))])
+@pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_query_equals_sql(spark, con, name):
     df = catalog.queries()[name](spark, SF)
     columns = sorted(df.columns)

@@ -3,9 +3,9 @@ from __future__ import annotations
 from conftest import BARS, minute_bars
 
 from pyspark.sql import functions as F
-from tapeforms.llm import shared
 from tapeforms.operators import journal, ledger
 from tapeforms.plans import catalog
+from tapeforms.sources import folders
 from tapeforms.sources.store import BarStore, EventLog
 from tapeforms.streaming import live
 
@@ -82,5 +82,5 @@ def test_the_query_of_closed_bars_keeps_rows_and_state_in_the_shared_folder(spar
     got = catalog.stream_closed_bars(spark, str(tmp_path))
     assert [(r.ts, r.open, r.close, r.volume) for r in got.orderBy("ts").collect()] == [("2024-01-08 14:30:00", 1.0, 129.0, 129.0), ("2024-01-08 14:45:00", 130.0, 258.0, 129.0)]
     files = got.inputFiles()
-    assert files and all(f"{shared.shared_dir(spark).removeprefix('file://')}/closed-bars-" in f for f in files)
+    assert files and all(f"{folders.shared_dir(spark).removeprefix('file://')}/closed-bars-" in f for f in files)
     assert spark.read.text(files[0].split("/bars/")[0] + "/checkpoint/offsets").count()
