@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tapeforms.sources.folders import cut, shared_dir  # noqa: F401
+
 #: A side of at most this many bytes, measured, may be broadcast.
 BROADCAST_BYTES = 32 << 20
 #: White space between words, as a Java regular expression and as the characters themselves.
@@ -20,27 +21,6 @@ SPACE_PATTERN = r"[\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if not found and context._jsc.sc().getCheckpointDir().isDefined():
-        found = context._jsc.sc().getCheckpointDir().get()
-    if not found:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tapeforms-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(found)
-    return found
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder: lineage ends here and lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

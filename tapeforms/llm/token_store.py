@@ -46,7 +46,8 @@ MAGIC = b"TFCHUNK1"
 WINDOW_STEPS = (1, 2, 4, 8)  # a hash over 16 ids, by doubling
 CUT_BITS = 9
 LEAST, MOST = 128, 4096
-#: Names of chunks that a task remembers; that only spares repeated work.
+#: Bytes of a worker's table of words, and names of chunks that a task remembers; both only spare repeated work.
+TABLE_BYTES = 48 << 20
 SENT = 100_000
 #: A character that is a word of its own, between words that are encoded together.
 MARK = "\x01"
@@ -72,7 +73,7 @@ class WordEncoder:
         #: Special tokens are found before letters are made small, so texts with one keep their capitals.
         self.special = [t["content"].lower().encode() for t in vocabulary.get("added_tokens", ())]
         self.lowers = {"type": "Lowercase"} in steps_of(vocabulary)
-        self.table = shared.WordIds(self.apart)
+        self.table = shared.WordIds(self.apart, TABLE_BYTES)
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids if self.by_word else (None,)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -168,29 +169,41 @@ def merkle_root(names: Iterable[bytes]) -> bytes:
     return level[0]
 
 
-def crc_of_both(a: int, b: int, length: int, powers: dict[int, list[int]]) -> int:
-    """The CRC-32 of a concatenation, from those of its parts and the length of the second."""
-    rows = powers.get(length)
-    if rows is None:  # appending zero bits is linear in the CRC: its matrix, by squaring
-        rows = [1 << i for i in range(32)]
-        step = [0xEDB88320, *(1 << i for i in range(31))]
-        n = 8 * length
-        while n:
-            if n & 1:
-                rows = [_times(step, r) for r in rows]
-            step = [_times(step, r) for r in step]
-            n >>= 1
-        powers[length] = rows
-    return _times(rows, a) ^ b
-
-
-def _times(matrix: list[int], vector: int) -> int:
-    out, i = 0, 0
-    while vector:
-        if vector & 1:
-            out ^= matrix[i]
-        vector >>= 1
-        i += 1
+@lru_cache(maxsize=1)
+def _zeros() -> np.ndarray:
+    """(48, 4, 256): what the CRC-32 becomes by 2^k zero bytes, by each byte of it; appending zeros is linear in the CRC."""
+    rows = np.array([0xEDB88320, *(1 << i for i in range(31))], dtype=np.uint32)  # one zero bit: row i is the image of bit i
+    out = np.empty((48, 4, 256), dtype=np.uint32)
+
+    def image(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+        bits = (x[..., None] >> np.arange(32, dtype=np.uint32)) & np.uint32(1)
+        return np.bitwise_xor.reduce(bits * rows, axis=-1)
+
+    for _ in range(3):
+        rows = image(rows, rows)
+    for k in range(48):
+        out[k] = image(rows, np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32)[:, None]))
+        rows = image(rows, rows)
+    return out
+
+
+def crcs_of_all(crcs: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The CRC-32 of each concatenation, from those of its parts and their bytes; the parts of concatenation i end before ends[i], and each has one."""
+    starts = np.concatenate(([0], ends[:-1]))
+    crcs, out = crcs.astype(np.uint32), crcs[starts].astype(np.uint32)
+    live, tables = np.arange(len(ends)), _zeros()
+    step = 0
+    while len(live):
+        step += 1
+        live = live[starts[live] + step < ends[live]]
+        at = starts[live] + step
+        x, n, k = out[live], sizes[at].astype(np.int64), 0
+        while n.any():
+            odd = (n & 1).astype(bool)
+            y = x[odd]
+            x[odd] = tables[k, 0][y & 255] ^ tables[k, 1][(y >> 8) & 255] ^ tables[k, 2][(y >> 16) & 255] ^ tables[k, 3][y >> 24]
+            n, k = n >> 1, k + 1
+        out[live] = x ^ crcs[at]
     return out
 
 
@@ -231,7 +244,6 @@ def chunked(docs: DataFrame, path: str, end_id: int, id_col: str, text: str) ->
                         a = b
                 where = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(seq, pa.int32()), pa.array(n, pa.int32()), pa.array(name, pa.binary()), pa.array(data, pa.binary())], names=[id_col, "t", "seq", "n", "name", "data"])
-        own.table.forget()
 
     return docs.select(id_col, F.xxhash64(text).alias("t"), text).mapInArrow(run, f"`{id_col}` {kind}, t long, seq int, n int, name binary, data binary")
 
@@ -240,7 +252,7 @@ def store_chunks(chunks: DataFrame, folder: str) -> DataFrame:
     """Writes each chunk once, into files of `folder`; (…, seq, n, name, file) for each chunk of each document, without data."""
     kept = [c for c in chunks.columns if c != "data"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema if f.name != "data") + ", file string"
-    deal = F.when(F.col("data").isNull(), F.xxhash64("t", "seq")).otherwise(F.xxhash64("name"))
+    deal = F.when(F.col("data").isNull(), F.xxhash64(chunks.columns[0], "t", "seq")).otherwise(F.xxhash64("name"))
     dealt = chunks.withColumn("_d", deal).repartition(shared.partitions(chunks.sparkSession), "_d").sortWithinPartitions(F.col("data").isNull(), "name").drop("_d")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -356,20 +368,16 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     kind = joined.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers: dict[int, list[int]] = {}
         for batch in batches:
-            sums = []
             lists = batch.column("found")
             found = lists.flatten()
-            held, crcs, names = (found.field(c).to_pylist() for c in ("held", "crc", "name"))
-            ends = np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64)).tolist()
-            for n, root, a, b in zip(batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist(), [0, *ends], ends, strict=False):
+            held, names = (found.field(c).to_pylist() for c in ("held", "name"))
+            ends = np.cumsum(np.asarray(lists.value_lengths(), dtype=np.int64))
+            stops = ends.tolist()
+            for n, root, a, b in zip(batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist(), [0, *stops], stops, strict=False):
                 if None in held[a:b] or merkle_root(names[a:b]) != root or sum(held[a:b]) != n:
                     raise ValueError("a document is not what its recipe says")
-                crc = crcs[a]
-                for i in range(a + 1, b):
-                    crc = crc_of_both(crc, crcs[i], 4 * held[i], powers)
-                sums.append(crc)
+            sums = crcs_of_all(found.field("crc").to_numpy(), 4 * np.array(held, dtype=np.int64), ends).astype(np.int64) if stops else []
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in (id_col, "start", "n_tokens")] + [pa.array(sums, pa.int64())], names=[id_col, "start", "n_tokens", "ids_crc32"])
 
     return joined.mapInArrow(run, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long")
