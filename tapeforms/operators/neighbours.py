@@ -25,7 +25,7 @@ def _blocked(all_windows: DataFrame, queries: DataFrame, block: int) -> tuple[Da
     """Queries and candidates keyed by (symbol, qb): a candidate goes to each block of queries from its own on."""
     q = queries.withColumn("qb", F.floor(F.col("q_end") / block))
     top = q.groupBy("symbol").agg(F.max("qb").alias("_top"))
-    c = all_windows.where("valid and fwd_ret is not null").select("symbol", "end_idx", "end_ts", "z", "fwd_ret", "valid").join(F.broadcast(top), "symbol")
+    c = all_windows.where("valid and fwd_ret is not null").select("symbol", "end_idx", "end_ts", "z", "fwd_ret", "valid").join(top, "symbol")
     own = F.floor(F.col("end_idx") / block)
     return q, c.where(own <= F.col("_top")).withColumn("qb", F.explode(F.sequence(own, F.col("_top")))).drop("_top")
 
@@ -51,39 +51,109 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= BUFFER * k)
 
 
-def nearest_by_blocks(all_windows: DataFrame, queries: DataFrame, window: int, horizon: int, k: int, block: int = BLOCK) -> DataFrame:
-    """nearest(distances()) for wide windows: blocks of queries meet blocks of candidates in matrix products, and each task
-    gives the best BUFFER * k of its candidates per query, which are then merged."""
-    q, c = _blocked(all_windows, queries, block)
-    left = q.select("symbol", "qb", F.lit(None).cast("long").alias("cb"), F.col("q_end").alias("at"), F.col("qz").alias("z"), F.lit(None).cast("double").alias("fwd_ret"), F.lit(None).cast("timestamp_ntz").alias("end_ts"))
-    right = c.select("symbol", "qb", F.floor(F.col("end_idx") / block).alias("cb"), F.col("end_idx").alias("at"), "z", "fwd_ret", "end_ts")
-    # A query goes to each pair of blocks that it takes part in.
-    every = left.drop("cb").withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qb"))))
-    rows = every.withColumn("is_query", F.lit(True)).unionByName(right.withColumn("is_query", F.lit(False)))
-
-    def meet(table: pa.Table) -> pa.Table:
-        is_query = table.column("is_query").to_numpy()
-        at = table.column("at").to_numpy()
-        z = np.array(table.column("z").to_pylist(), dtype=np.float64)
-        a, b = np.flatnonzero(is_query), np.flatnonzero(~is_query)
-        out: list[np.ndarray] = [np.empty(0, dtype=np.int64)] * 2
-        dist = np.empty(0)
-        if len(a) and len(b):
-            x, y = z[a], z[b]
-            near = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
-            near[at[b][None, :] + horizon > at[a][:, None] - window] = np.inf
-            best = min(2 * BUFFER * k, len(b))  # twice as many as are kept: the product is less precise than the distance
+class Group:
+    """Queries of one symbol, some blocks of them, and the best candidates that they have met."""
+
+    def __init__(self, symbol: str, window: int, horizon: int, most: int):
+        self.symbol, self.window, self.horizon, self.most = symbol, window, horizon, most
+        self.at, self.z = np.empty(0, dtype=np.int64), None
+        self.held: list[tuple[np.ndarray, ...]] = []  # query, candidate, distance, forward return, time
+        self.worst = np.empty(0)
+        self.size = 0
+
+    def add(self, at: np.ndarray, z: np.ndarray) -> None:
+        self.at = np.concatenate((self.at, at))
+        self.z = z if self.z is None else np.concatenate((self.z, z))
+        self.worst = np.full(len(self.at), np.inf)
+
+    def meet(self, at: np.ndarray, z: np.ndarray, fwd_ret: np.ndarray, end_ts: np.ndarray) -> None:
+        """Distances by matrix product; those that may be among the best again by component, since the product is less precise."""
+        squares = (z * z).sum(1)
+        for lo in range(0, len(self.at), 512):
+            q, q_at, worst = self.z[lo : lo + 512], self.at[lo : lo + 512], self.worst[lo : lo + 512]
+            near = (q * q).sum(1)[:, None] + squares[None, :] - 2 * q @ z.T
+            near[at[None, :] + self.horizon > q_at[:, None] - self.window] = np.inf
+            best = min(2 * self.most, len(at))  # twice as many as are kept
             picked = np.argpartition(near, best - 1, axis=1)[:, :best]
-            i, j = np.repeat(a, best), b[picked.ravel()]
-            found = np.isfinite(near[np.arange(len(a))[:, None], picked]).ravel()
-            i, j = i[found], j[found]
-            out, dist = [i, j], np.round(np.sqrt(((z[i] - z[j]) ** 2).sum(1)), DIGITS)
-        i, j = out
-        pick = table.select(["end_ts", "fwd_ret"]).take(pa.array(j))
-        return pa.table([table.column("symbol").take(pa.array(i)), pa.array(at[i]), pa.array(at[j]), pick.column("end_ts"), pick.column("fwd_ret"), pa.array(dist)], names=["symbol", "q_end", "end_idx", "end_ts", "fwd_ret", "dist"])
-
-    found = rows.groupBy("symbol", "qb", "cb").applyInArrow(meet, "symbol string, q_end long, end_idx long, end_ts timestamp_ntz, fwd_ret double, dist double")
-    return nearest(found, k)
+            of = np.take_along_axis(near, picked, axis=1)
+            i, c = np.nonzero(np.isfinite(of) & (of <= (worst * worst + 1e-6)[:, None]))
+            j = picked[i, c]
+            dist = np.round(np.sqrt(((q[i] - z[j]) ** 2).sum(1)), DIGITS)
+            self.held.append((i + lo, at[j], dist, fwd_ret[j], end_ts[j]))
+            self.size += len(i)
+        if self.size > 3 * len(self.at) * self.most:
+            self.keep_best()
+
+    def keep_best(self) -> None:
+        query, at, dist, fwd_ret, end_ts = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((at, dist, query))
+        query = query[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        order, query, rank = order[rank < self.most], query[rank < self.most], rank[rank < self.most]
+        self.held = [(query, at[order], dist[order], fwd_ret[order], end_ts[order])]
+        self.size = len(query)
+        full = rank == self.most - 1
+        self.worst[query[full]] = dist[order][full]
+
+    def found(self) -> pa.RecordBatch | None:
+        if not self.held:
+            return None
+        self.keep_best()
+        query, at, dist, fwd_ret, end_ts = self.held[0]
+        rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
+        columns = [pa.array([self.symbol] * len(query), pa.string()), pa.array(self.at[query]), pa.array(at), pa.array(end_ts).cast(pa.timestamp("us")), pa.array(fwd_ret), pa.array(dist), pa.array(rank, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["symbol", "q_end", "end_idx", "end_ts", "fwd_ret", "dist", "rank"])
+
+
+def _packed(rows: DataFrame, block: str) -> DataFrame:
+    """rows (symbol, block, at, z, fwd_ret, end_ts) with a row per block of them, its columns as binary."""
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        z = np.asarray(table.column("z").combine_chunks().flatten(), dtype=np.float64)
+        times = table.column("end_ts").cast(pa.int64())
+        parts = [table.column("at").to_numpy(), z, table.column("fwd_ret").to_numpy(zero_copy_only=False).astype(np.float64), times.to_numpy(zero_copy_only=False).astype(np.float64)]
+        return pa.table([table.column("symbol").slice(0, 1), table.column(block).slice(0, 1), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["symbol", block, "at", "z", "fwd_ret", "end_ts"])
+
+    return rows.groupBy("symbol", block).applyInArrow(pack, f"symbol string, {block} long, at binary, z binary, fwd_ret binary, end_ts binary")
+
+
+def nearest_by_blocks(all_windows: DataFrame, queries: DataFrame, window: int, horizon: int, k: int, block: int = 8 * BLOCK, chunk: int = 8 * BLOCK) -> DataFrame:
+    """nearest(distances()) for wide windows, in matrix products.
+
+    `block` queries are a unit and `chunk` candidates a row of bytes. A unit's queries come first in its partition, then the chunks that it may look at, one
+    after another; only the best BUFFER * k of each query are kept, so what a task holds doesn't grow and its result needs no merge.
+    """
+    none = [F.lit(None).cast("double").alias("fwd_ret"), F.lit(None).cast("timestamp_ntz").alias("end_ts")]
+    q = queries.select("symbol", F.floor(F.col("q_end") / block).alias("unit"), F.col("q_end").alias("at"), F.col("qz").alias("z"), *none)
+    top = q.groupBy("symbol").agg(F.max("unit").alias("_top"))
+    c = all_windows.where("valid and fwd_ret is not null").select("symbol", F.floor(F.col("end_idx") / chunk).alias("part"), F.col("end_idx").alias("at"), "z", "fwd_ret", "end_ts")
+    first = F.floor(F.col("part") * chunk / block)
+    chunks = _packed(c, "part").join(top, "symbol").where(first <= F.col("_top")).withColumn("unit", F.explode(F.sequence(first, F.col("_top"))))
+    names = ["symbol", "unit", "part", "at", "z", "fwd_ret", "end_ts"]
+    rows = _packed(q, "unit").withColumn("part", F.lit(-1).cast("long")).select(names).unionByName(chunks.select(names))
+    place = ["symbol", "unit"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, key = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {n: batch.column(n)[i].as_py() for n in names}
+                if (r["symbol"], r["unit"]) != key:
+                    if group is not None and (out := group.found()) is not None:
+                        yield out
+                    key, group = (r["symbol"], r["unit"]), Group(r["symbol"], window, horizon, BUFFER * k)
+                at = np.frombuffer(r["at"], dtype=np.int64)
+                z = np.frombuffer(r["z"]).reshape(len(at), -1)
+                if r["part"] < 0:
+                    group.add(at, z)
+                elif group.z is not None:
+                    group.meet(at, z, np.frombuffer(r["fwd_ret"]), np.frombuffer(r["end_ts"]).astype(np.int64))
+        if group is not None and (out := group.found()) is not None:
+            yield out
+
+    laid = rows.repartition(*place).sortWithinPartitions(*place, "part")
+    return laid.mapInArrow(run, "symbol string, q_end long, end_idx long, end_ts timestamp_ntz, fwd_ret double, dist double, rank int")
 
 
 def without_overlaps(ranked: DataFrame, k: int, gap: int) -> DataFrame:

@@ -44,12 +44,8 @@ def _with_window(indexed: DataFrame, s: Settings, per_window: DataFrame) -> Data
 def knn_shape(indexed: DataFrame, s: Settings) -> DataFrame:
     """LONG or SHORT where enough of the nearest past shapes went one way and by enough; with the figures of the match."""
     w = windows.windows(indexed, s.window, s.horizon, s.features, s.normalization)
-    width = s.window * (1 if s.features == "close" else 4)
     queries = w.where("valid").select("symbol", F.col("end_idx").alias("q_end"), F.col("z").alias("qz"))
-    if width <= 32:
-        near = neighbours.nearest(neighbours.distances(w, queries, s.window, s.horizon, width), s.k)
-    else:
-        near = neighbours.nearest_by_blocks(w, queries, s.window, s.horizon, s.k, s.block_size)
+    near = neighbours.nearest_by_blocks(w, queries, s.window, s.horizon, s.k)
     stats = neighbours.match_stats(neighbours.without_overlaps(near, s.k, s.dedup_gap))
     per = w.select("symbol", F.col("end_idx").alias("q_end"), "valid").join(neighbours.unconditional(w, s.window, s.horizon), ["symbol", "q_end"]).join(stats, ["symbol", "q_end"], "left")
     few = F.coalesce(F.col("n"), F.lit(0)) < s.min_matches

@@ -250,7 +250,7 @@ def kept_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = all_windows(spark, sf_dir)
-    return neighbours.nearest_by_blocks(w, w.where("valid").select("symbol", F.col("end_idx").alias("q_end"), F.col("z").alias("qz")), W, H, K, block=256)
+    return neighbours.nearest_by_blocks(w, w.where("valid").select("symbol", F.col("end_idx").alias("q_end"), F.col("z").alias("qz")), W, H, K, block=256, chunk=128)
 
 
 # Inputs for the journal and the ledger, derived from events, in both dialects.

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import datetime as dt
 import math
+import random
 
 import pytest
 from conftest import BARS, minute_bars
@@ -64,6 +66,21 @@ def test_neighbours_equal_brute_force_and_never_look_ahead(indexed):
     assert near == blocked == want
 
 
+def test_wide_windows_by_blocks_equal_all_pairs(spark):
+    """Windows of 30 values and many neighbours, over several blocks, chunks and symbols."""
+    rng = random.Random(3)
+    rows = [(symbol, None, i, dt.datetime(2024, 1, 8) + dt.timedelta(minutes=i), [rng.gauss(0, 1) for _ in range(30)], rng.random() > 0.1, rng.gauss(0, 1) if rng.random() > 0.1 else None) for symbol in ("A", "B") for i in range(300)]
+    w = spark.createDataFrame(rows, "symbol string, session date, end_idx long, end_ts timestamp_ntz, z array<double>, valid boolean, fwd_ret double")
+    q = w.where("valid").select("symbol", F.col("end_idx").alias("q_end"), F.col("z").alias("qz"))
+    got = {(r.symbol, r.q_end, r["rank"]): (r.end_idx, r.dist, r.fwd_ret, r.end_ts) for r in neighbours.nearest_by_blocks(w, q, 30, 15, 10, block=64, chunk=32).collect()}
+    want = {}
+    for a in rows:
+        if a[5]:
+            some = sorted((round(math.dist(a[4], b[4]), 9), b[2], b[6], b[3]) for b in rows if b[0] == a[0] and b[5] and b[6] is not None and b[2] + 15 <= a[2] - 30)
+            want |= {(a[0], a[2], i + 1): (e, d, f, t) for i, (d, e, f, t) in enumerate(some[: neighbours.BUFFER * 10])}
+    assert len(want) > 10_000 and got == want
+
+
 def test_overlaps_at_exactly_the_gap_go(spark):
     rows = [("T", 100, r, e, None, float(r), 0.1) for r, e in enumerate((10, 12, 13, 16, 30, 50), 1)]
     df = spark.createDataFrame(rows, "symbol string, q_end long, rank int, end_idx long, end_ts timestamp_ntz, dist double, fwd_ret double")
