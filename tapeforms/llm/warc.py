@@ -253,7 +253,7 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url: str = "ur
 def archived_pages(spark: SparkSession, path: str, id_col: str = "page_id") -> DataFrame:
     """(id_col, payload_bytes, payload_digest, record_type, refers_to) of the pages in archives that archive() wrote.
 
-    Sizes and digests are those of the payloads read; for a revisit, of the response that it refers to.
+    Sizes and digests are those of the payloads read; for a revisit, of the response that it refers to. A revisit without its response is an error.
     """
 
     def number(c: str) -> Column:
@@ -265,4 +265,6 @@ def archived_pages(spark: SparkSession, path: str, id_col: str = "page_id") -> D
     of = found.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).withColumnRenamed(id_col, "refers_to")
     columns = [id_col, "payload_bytes", "payload_digest", "record_type", "refers_to"]
     first = found.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")}).select(columns)
-    return first.unionByName(revisits.join(of, "refers_to").withColumn("record_type", F.lit("revisit")).select(columns))
+    missing = F.raise_error(F.concat(F.lit("no response that a revisit refers to: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("none")))).cast("long")
+    again = revisits.join(of, "refers_to", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", missing))
+    return first.unionByName(again.withColumn("record_type", F.lit("revisit")).select(columns))
