@@ -11,7 +11,8 @@ from typing import Any
 from tapeforms.functions.candles import CANDLES
 from tapeforms.functions.templates import TEMPLATES
 
-#: Fields that count in the identity of every experiment, and those of each signal source.
+# The names of the settings, their defaults, and which count in the identity of an experiment, since hashes of other
+# installations have to be met. First those of every experiment, then those of each signal source.
 SHARED = ("signal_source", "symbols", "timeframe", "horizon", "min_history_bars", "enable_shorts", "cost_bps", "split_date", "query_stride")
 OF_SOURCE = {
     "knn_shape": ("window", "k", "dedup_gap", "p_threshold", "t_multiplier", "min_matches", "features", "normalization"),
@@ -23,6 +24,8 @@ TRUE, FALSE = ("1", "true", "yes", "on"), ("0", "false", "no", "off")
 
 @dataclass(frozen=True)
 class Settings:
+    """Names and defaults, see above."""
+
     signal_source: str = "knn_shape"
     symbols: tuple[str, ...] = ("QQQ",)
     timeframe: str = "1Min"
