@@ -307,10 +307,10 @@ SIGNALS_SQL = "js AS (SELECT event_id // 2 AS id, 'c' || (event_id % 7) AS confi
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).where("idx % 20 = 10").select("symbol", "ts", (F.lit(50_000.0) + F.col("idx") * 3).alias("equity"))
+    return bars(spark, sf_dir).select("symbol", "ts", (F.lit(50_000.0) + F.col("idx") * 3).alias("equity"))
 
 
-SNAPSHOTS_SQL = "sn AS (SELECT symbol, ts, 50000.0::DOUBLE + idx * 3 AS equity FROM x WHERE idx % 20 = 10), sp AS (SELECT min(ts) AS t0, max(ts) AS t1, arg_min(equity, ts) AS e0, arg_max(equity, ts) AS e1 FROM sn)"
+SNAPSHOTS_SQL = "sn AS (SELECT symbol, ts, 50000.0::DOUBLE + idx * 3 AS equity FROM x), sp AS (SELECT min(ts) AS t0, max(ts) AS t1, arg_min(equity, ts) AS e0, arg_max(equity, ts) AS e1 FROM sn)"
 
 
 def step_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -354,7 +354,7 @@ def fired(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars(spark, sf_dir).where("pos = 3").select("symbol", F.col("idx").alias("entry_idx"), F.col("open").alias("entry_price"), F.lit(1.0).alias("qty"))
+    return bars(spark, sf_dir).where("bars_left > 0").select("symbol", F.col("idx").alias("entry_idx"), F.col("open").alias("entry_price"), F.lit(1.0).alias("qty"))
 
 
 def cases_of_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -420,7 +420,7 @@ query("candle_signals", f"WITH {CANDLE_SQL} SELECT {SIGNAL_COLUMNS}, pattern, n_
 query("fill_costs", f"WITH {BARS_SQL} SELECT symbol, idx, {num(f'lead(open) OVER s * (1 + {COST})', 'buy')}, {num(f'lead(open) OVER s * (1 - {COST})', 'sell')} FROM x WINDOW s AS (ORDER BY idx)")(
     lambda s, d: (lambda x: shown(x.select("symbol", "idx").join(x.select("symbol", (F.col("idx") - 1).alias("idx"), "open"), ["symbol", "idx"], "left").select("symbol", "idx", backtest.fill_price(F.col("open"), F.lit("buy"), KNN.cost_bps).alias("buy"), backtest.fill_price(F.col("open"), F.lit("sell"), KNN.cost_bps).alias("sell"))))(bars(s, d))
 )
-query("force_flat", f"WITH {BARS_SQL}, p AS (SELECT session, idx AS entry_idx, open AS entry_price FROM x WHERE pos = 3) SELECT 'EVT' AS symbol, entry_idx, l.idx AS exit_idx, {num('entry_price', 'entry_price')}, {num(f'l.close * (1 - {COST})', 'exit_price')}, {num(f'l.close * (1 - {COST}) / entry_price - 1', 'net_ret')}, 'force_flat' AS exit_reason FROM p JOIN x l ON l.session = p.session AND l.bars_left = 0")(lambda s, d: shown(backtest.forced_flat(bars(s, d), positions(s, d), KNN.cost_bps)))
+query("force_flat", f"WITH {BARS_SQL}, p AS (SELECT session, idx AS entry_idx, open AS entry_price FROM x WHERE bars_left > 0) SELECT 'EVT' AS symbol, entry_idx, l.idx AS exit_idx, {num('entry_price', 'entry_price')}, {num(f'l.close * (1 - {COST})', 'exit_price')}, {num(f'l.close * (1 - {COST}) / entry_price - 1', 'net_ret')}, 'force_flat' AS exit_reason FROM p JOIN x l ON l.session = p.session AND l.bars_left = 0")(lambda s, d: shown(backtest.forced_flat(bars(s, d), positions(s, d), KNN.cost_bps)))
 for _name, _s, _base, _of in (("knn", KNN, KNN_SQL, "knn"), ("template", TEMPLATE, TEMPLATE_SQL, "template"), ("candles", CANDLE, CANDLE_SQL, "candle")):
     query(f"wf_asked_{_name}", f"WITH RECURSIVE {_walk_sql(_base, _of)} SELECT 'EVT' AS symbol, session::VARCHAR AS session, idx, direction FROM asked")(lambda s, d, c=_s: shown(walk(s, d, c)[1]))
     query(f"wf_trades_{_name}", f"WITH RECURSIVE {_walk_sql(_base, _of)} SELECT {TRADE_COLUMNS} FROM trades")(lambda s, d, c=_s: shown(walk(s, d, c)[2]))
@@ -475,8 +475,8 @@ query("bars_since_entry", f"WITH {BARS_SQL} SELECT 'EVT' AS symbol, count(*) FIL
 query("status_counts", f"WITH {ORDERS_SQL} SELECT symbol, count(*) FILTER (status = 'filled') AS n_filled, count(*) FILTER (status = 'filled' AND intent IN ('time_stop', 'force_flat')) AS n_closed, count(*) FILTER (status = 'open') AS n_open FROM jo GROUP BY 1")(lambda s, d: journal.status(journal_orders(s, d)))
 query("live_step_cases", f"WITH {STEP_SQL} SELECT id, outcome, {num('CASE WHEN outcome = ' + repr('entry') + ' THEN q WHEN starts_with(outcome, ' + repr('exit:') + ') THEN held END', 'qty')} FROM ou")(lambda s, d: journal.step(step_cases(s, d), H, 5, 0.05).select("id", "outcome", (F.round(F.col("qty").cast("double"), 6) + 0.0).alias("qty")))
 query("order_states", "SELECT event_id AS id, CASE event_id % 5 WHEN 0 THEN 'filled' WHEN 1 THEN 'open' WHEN 2 THEN 'rejected' WHEN 3 THEN 'rejected' ELSE 'open' END AS state FROM events")(lambda s, d: table(s, d, "events").select(F.col("event_id").alias("id"), journal.order_state(F.element_at(F.array(*(F.lit(x) for x in ("FILLED", "partially_filled", "canceled", "expired", "accepted"))), (F.col("event_id") % 5 + 1).cast("int"))).alias("state")))
-OVERLAY_SQL = f"{BARS_SQL}, m AS (SELECT symbol, idx AS end_idx FROM x WHERE idx % 50 = 25), o AS (SELECT end_idx, unnest(range({-W}, {H + 1})) AS step FROM m), p AS (SELECT o.end_idx, step, close FROM o JOIN x ON x.idx = o.end_idx + step)"
-query("overlay_rebase", f"WITH {OVERLAY_SQL} SELECT 'EVT' AS symbol, end_idx, step::BIGINT AS step, {num(f'close / first_value(close) OVER (PARTITION BY end_idx ORDER BY step)', 'level')} FROM p WHERE end_idx >= {W}")(lambda s, d: shown(journal.overlay(bars(s, d), bars(s, d).where("idx % 50 = 25").select("symbol", F.col("idx").alias("end_idx")), W, H)))
+OVERLAY_SQL = f"{PAIRS_SQL}, m AS (SELECT DISTINCT end_idx FROM kept), o AS (SELECT end_idx, unnest(range({-W}, {H + 1})) AS step FROM m), p AS (SELECT o.end_idx, step, close FROM o JOIN x ON x.idx = o.end_idx + step)"
+query("overlay_rebase", f"WITH {OVERLAY_SQL} SELECT 'EVT' AS symbol, end_idx, step::BIGINT AS step, {num(f'close / first_value(close) OVER (PARTITION BY end_idx ORDER BY step)', 'level')} FROM p WHERE end_idx >= {W}")(lambda s, d: shown(journal.overlay(bars(s, d), kept_of(s, d).select("symbol", "end_idx").distinct(), W, H)))
 HISTOGRAM_SQL = f"{WINDOWS_SQL}, hs AS (SELECT count(*) AS c, min(fwd_ret) AS a, max(fwd_ret) AS b, least(30, greatest(5, count(*) // 2)) AS k FROM w WHERE fwd_ret IS NOT NULL), hb AS (SELECT least(k - 1, floor((fwd_ret - a) / ((b - a) / k)))::BIGINT AS bin, a, (b - a) / k AS wd FROM w, hs WHERE fwd_ret IS NOT NULL)"
 query("fwd_histogram", f"WITH {HISTOGRAM_SQL} SELECT bin, {num('any_value(a) + bin * any_value(wd)', 'lo')}, {num('any_value(a) + (bin + 1) * any_value(wd)', 'hi')}, count(*) AS n FROM hb GROUP BY bin")(lambda s, d: shown(journal.histogram(all_windows(s, d), "fwd_ret")))
 IDENTITIES = {c.signal_source: c.identity_json() for c in (KNN, TEMPLATE, CANDLE)}
