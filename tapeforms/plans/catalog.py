@@ -52,9 +52,10 @@ def num(expression: str, name: str) -> str:
     return f"round({expression}, 6) + 0.0 AS {name}"
 
 
-BARS_SQL = f"""
+def _bars_sql(minutes: int) -> str:
+    return f"""
 b AS (
-  SELECT 'EVT' AS symbol, time_bucket(INTERVAL '{MINUTES} minutes', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
+  SELECT 'EVT' AS symbol, time_bucket(INTERVAL '{minutes} minutes', ts) AS ts, arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
          arg_max(value, ts) AS close, count(*)::DOUBLE AS volume
   FROM events WHERE value > 0 GROUP BY 2
 ), n AS (
@@ -67,8 +68,14 @@ b AS (
          count(*) OVER (PARTITION BY session) - row_number() OVER (PARTITION BY session ORDER BY ts) AS bars_left
   FROM r
 )"""
+
+
+BARS_SQL = _bars_sql(MINUTES)
 W, H, K, GAP = KNN.window, KNN.horizon, KNN.k, KNN.dedup_gap
-WINDOWS_SQL = f"""{BARS_SQL}, ret AS (
+
+
+def _windows_sql(W: int, H: int, minutes: int = MINUTES) -> str:  # noqa: N803
+    return f"""{_bars_sql(minutes)}, ret AS (
   SELECT *, ln(close / lag(close) OVER s) AS r, lead(close, {H}) OVER s / close - 1 AS fwd_ret FROM x WINDOW s AS (PARTITION BY session ORDER BY idx)
 ), w0 AS (
   SELECT symbol, session, idx AS end_idx, ts AS end_ts, fwd_ret, pos, list(r) OVER (PARTITION BY session ORDER BY idx ROWS BETWEEN {W - 1} PRECEDING AND CURRENT ROW) AS v FROM ret
@@ -81,7 +88,10 @@ WINDOWS_SQL = f"""{BARS_SQL}, ret AS (
 ), cur AS (
   SELECT *, last_value(CASE WHEN pos >= {W} THEN idx END IGNORE NULLS) OVER (ORDER BY idx) AS q_end FROM x
 )"""
-PAIRS_SQL = f"""{WINDOWS_SQL}, pairs AS (
+
+
+def _pairs_sql(W: int, H: int, K: int, GAP: int, minutes: int = MINUTES) -> str:  # noqa: N803
+    return f"""{_windows_sql(W, H, minutes)}, pairs AS (
   SELECT q.symbol, q.end_idx AS q_end, c.end_idx, c.end_ts, c.fwd_ret, round(list_distance(q.z, c.z), 9) AS dist
   FROM w q JOIN w c ON c.valid AND c.fwd_ret IS NOT NULL AND c.end_idx + {H} <= q.end_idx - {W} WHERE q.valid
 ), near AS (
@@ -98,6 +108,9 @@ PAIRS_SQL = f"""{WINDOWS_SQL}, pairs AS (
   SELECT symbol, end_idx AS q_end, count(u) OVER f AS n_candidates, avg(u) OVER f AS uncond_mean
   FROM (SELECT *, CASE WHEN valid THEN fwd_ret END AS u FROM w) WINDOW f AS (ORDER BY end_idx RANGE BETWEEN UNBOUNDED PRECEDING AND {W + H} PRECEDING)
 )"""
+
+
+WINDOWS_SQL, PAIRS_SQL = _windows_sql(W, H), _pairs_sql(W, H, K, GAP)
 KNN_SQL = f"""{PAIRS_SQL}, ks AS (
   SELECT c.symbol, c.session, c.idx, c.ts, c.q_end, w.valid, CASE WHEN w.valid THEN coalesce(s.n, 0) END AS n, s.mean, s.median, s.pct_positive, u.n_candidates, u.uncond_mean,
          round({KNN.t_multiplier} * u.uncond_mean, 12) AS threshold,
@@ -253,6 +266,12 @@ def blocks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest_by_blocks(w, w.where("valid").select("symbol", F.col("end_idx").alias("q_end"), F.col("z").alias("qz")), W, H, K, block=256, chunk=128)
 
 
+def wide_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    window, horizon, k, _ = WIDE
+    w = windows.windows(bars(spark, sf_dir, 5), window, horizon)
+    return neighbours.nearest_by_blocks(w, w.where("valid").select("symbol", F.col("end_idx").alias("q_end"), F.col("z").alias("qz")), window, horizon, k)
+
+
 # Inputs for the journal and the ledger, derived from events, in both dialects.
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
@@ -404,6 +423,8 @@ query("knn_distance", f"WITH {PAIRS_SQL} SELECT symbol, q_end, count(*) AS n, {n
 NEAR_COLUMNS = f"symbol, q_end, end_idx, end_ts::VARCHAR AS end_ts, {num('fwd_ret', 'fwd_ret')}, {num('dist', 'dist')}, rank"
 query("knn_topk", f"WITH {PAIRS_SQL} SELECT {NEAR_COLUMNS} FROM near")(lambda s, d: shown(neighbours.nearest(pairs_of(s, d)[1], K)))
 query("knn_topk_blocks", f"WITH {PAIRS_SQL} SELECT {NEAR_COLUMNS} FROM near")(lambda s, d: shown(blocks_of(s, d)))
+WIDE = (30, 15, 100, 15)  # the window, horizon, neighbours and gap of the settings' defaults, on 5-minute bars
+query("knn_topk_wide", f"WITH {_pairs_sql(*WIDE, 5)} SELECT {NEAR_COLUMNS.replace("round(dist", "round(dist + 1e-10")} FROM near")(lambda s, d: shown(wide_of(s, d).withColumn("dist", F.col("dist") + 1e-10)))  # dist has nine decimals, so a 5 may stand where it is rounded
 query("knn_dedup", f"WITH {PAIRS_SQL} SELECT symbol, q_end, kept_rank, rank, end_idx, end_ts::VARCHAR AS end_ts, {num('dist', 'dist')}, {num('fwd_ret', 'fwd_ret')} FROM kept")(lambda s, d: shown(kept_of(s, d)))
 query("knn_match_stats", f"WITH {PAIRS_SQL} SELECT symbol, q_end, n, {num('mean', 'mean')}, {num('median', 'median')}, {num('pct_positive', 'pct_positive')} FROM stats")(lambda s, d: shown(neighbours.match_stats(kept_of(s, d))))
 SIGNAL_COLUMNS = "symbol, session::VARCHAR AS session, idx, ts::VARCHAR AS ts, direction, reason"

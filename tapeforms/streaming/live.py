@@ -48,12 +48,12 @@ def drained(bars: DataFrame, name: str) -> DataFrame:
     return bars.sparkSession.table(name)
 
 
-def trade(bars: DataFrame, journal: EventLog, checkpoint: str, s: Settings, minutes: int, cash: float = simulator.CASH) -> StreamingQuery:
+def trade(bars: DataFrame, journal: EventLog, checkpoint: str, s: Settings, minutes: int, cash: float = simulator.CASH, every: str | None = None) -> StreamingQuery:
     """The trading loop on a stream of closed bars (symbol, idx, ts, minute, open, close, direction).
 
     The journal, a log with the columns of simulator.REPLAY, is all the state there is: each batch goes on from the last row of
     every symbol there, so a loop that was killed and started again decides on each bar once, and a batch that is run
-    again adds nothing.
+    again adds nothing. `every`, such as "60 seconds", is the time between two looks at the stream; without it each batch follows the one before.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -62,4 +62,5 @@ def trade(bars: DataFrame, journal: EventLog, checkpoint: str, s: Settings, minu
         last = known.groupBy("symbol").agg(F.max_by(F.struct(*(c for c in names if c != "symbol")), "idx").alias("_r")).select("symbol", "_r.*")
         journal.append(simulator.replay(batch, batch, s, minutes, cash, last).select(*names))
 
-    return bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write).start()
+    writer = bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    return (writer.trigger(processingTime=every) if every else writer).start()
