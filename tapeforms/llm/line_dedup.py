@@ -98,13 +98,15 @@ def band_keys(lines: list[str], k: int = SHINGLE, bands: int = BANDS, rows: int
 
 def bitmaps(lines: list[str], k: int = SHINGLE) -> list[int]:
     """A bitmap of each line's shingles. Bits in which two differ are shingles that only one has: a lower bound, for a quick no."""
-    h, starts = shingle_hashes(lines, k)
-    at = (h >> np.uint64(20)).astype(np.int64) & (BITMAP - 1)
-    out = []
-    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(at)], strict=True):
-        bits = np.zeros(BITMAP, dtype=bool)
-        bits[at[a:b]] = True
-        out.append(int.from_bytes(np.packbits(bits).tobytes(), "big"))
+    out: list[int] = []
+    for at in range(0, len(lines), 256):
+        part = lines[at : at + 256]
+        h, starts = shingle_hashes(part, k)
+        bits = np.zeros((len(part), BITMAP), dtype=bool)
+        bits[np.repeat(np.arange(len(part)), np.diff(np.append(starts, len(h)))), (h >> np.uint64(20)).astype(np.int64) & (BITMAP - 1)] = True
+        rows = np.packbits(bits, axis=1).tobytes()
+        width = BITMAP // 8
+        out += [int.from_bytes(rows[i : i + width], "big") for i in range(0, len(rows), width)]
     return out
 
 
