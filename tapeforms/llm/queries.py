@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeforms.llm import bpe, chat, embed_dedup, html_extract, line_dedup, mixing, quality, shared, simhash, token_store, warc
+from tapeforms.llm import bpe, chat, embed_dedup, exact_search, fill_middle, html_extract, line_dedup, mixing, quality, shared, simhash, spelling, token_store, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,6 +133,48 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents")))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transformed(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS l, sha256('7:' || doc_id) AS s FROM documents
+), drawn AS (
+  SELECT *, len(l) AS n, ('0x' || s[1:8])::BIGINT % (len(l) + 1) AS x, ('0x' || s[9:16])::BIGINT % (len(l) + 1) AS y, ('0x' || s[25:32])::BIGINT AS h4 FROM cut
+), parts AS (
+  SELECT *, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') AS plain, array_to_string(l[1:least(x, y)], '') AS p,
+         array_to_string(l[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(l[greatest(x, y) + 1:n], '') AS s3 FROM drawn
+), formed AS (
+  SELECT *, CASE WHEN plain THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM parts
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s3 || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s3 || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM formed
+"""
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.x) = len(q.x) WHERE q.vec_id % 20 = 0
+)
+SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored) WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_embedding_near_dedup": op1_embedding_near_dedup,
@@ -145,8 +187,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
         "op10_byte_bpe": op10_byte_bpe,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_exact_top_k": op13_exact_top_k,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat_format": OP6_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op6_chat_format": OP6_SQL, "op8_quality_rules": OP8_SQL, "op12_fill_in_middle": OP12_SQL, "op13_exact_top_k": OP13_SQL}
