@@ -39,7 +39,7 @@ SCALE = 64
 #: Vectors that the cells are drawn from, at most, and cells, at most.
 SAMPLE, CELLS = 4096, 64
 #: Vectors of a shard and queries of a block, about, and vectors of a leaf, at most.
-SHARD, BLOCK, LEAF = 8192, 512, 64
+SHARD, BLOCK, LEAF = 8192, 512, 256
 EXACT = float(1 << 53)
 LONG = (1 << 63) - 1
 #: Relative error that a bound of boxes allows for.

@@ -9,7 +9,6 @@ these are returned.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,8 +51,8 @@ WINDOW = 8
 #: An odd factor near 2^31, which spreads a CRC-32 over 63 bits without overflow.
 SPREAD = 2147483629
 SYMBOLS = "#*$%&|<>"
-#: The ids of the stop words as they occur: plain, capitalised, and before a comma or full stop.
-STOP_IDS = sorted({zlib.crc32((v + mark).encode()) * SPREAD for w in STOP_WORDS for v in (w, w.capitalize()) for mark in ("", ",", ".")})
+#: The stop words as they occur: plain, capitalised, and before a comma or full stop.
+STOP_FORMS = sorted({v + mark for w in STOP_WORDS for v in (w, w.capitalize()) for mark in ("", ",", ".")})
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATIOS = ("mean_word_chars", "symbol_ratio", "stop_word_ratio", "capital_ratio", "dup_line_ratio", "repeat_word_ratio", "stutter_ratio", "bullet_line_ratio", "ellipsis_line_ratio")
 
@@ -63,22 +62,30 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def repeated_words(windows: Column, width: int) -> Column:
-    """How many words lie in windows whose hash occurs twice or more; windows: the hashes in order of their first word."""
+def repeated_words(windows: Column, words: Column, width: int) -> Column:
+    """How many words lie in windows that occur twice or more; windows: the hashes in order of their first word.
 
-    def from_sorted(s: Column) -> Column:
+    Equal hashes only choose the windows that are looked at: these are then told apart by their words.
+    """
+
+    def repeats(s: Column) -> Column:
+        """Of sorted structs (h, i) those whose h occurs twice or more: their i."""
         last = F.size(s) - 1
         twice = F.filter(F.sequence(F.lit(0), last), lambda k: ((k > 0) & (F.get(s, k - 1)["h"] == F.get(s, k)["h"])) | ((k < last) & (F.get(s, k + 1)["h"] == F.get(s, k)["h"])))
-        return let(F.sort_array(F.transform(twice, lambda k: F.get(s, k)["i"])), covered)
+        return F.transform(twice, lambda k: F.get(s, k)["i"])
+
+    def by_words(at: Column) -> Column:
+        spelled = F.sort_array(F.transform(at, lambda i: F.struct(F.array_join(F.slice(words, i + 1, width), " ").alias("h"), i.alias("i"))))
+        return let(spelled, lambda s: F.when(F.size(s) > 0, let(F.sort_array(repeats(s)), covered)).otherwise(0))
 
     def covered(at: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), F.lit(0), lambda n, k: n + F.when(k == 0, width).otherwise(F.least(F.lit(width), F.get(at, k) - F.get(at, k - 1))))
+        return F.when(F.size(at) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), F.lit(0), lambda n, k: n + F.when(k == 0, width).otherwise(F.least(F.lit(width), F.get(at, k) - F.get(at, k - 1)))))
 
-    return let(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), from_sorted)
+    return let(F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i")))), lambda s: let(repeats(s), by_words))
 
 
 def word_id(word: Column) -> Column:
-    """A number of 63 bits for a word, from its CRC-32; it needs no configuration lookup per call, which makes xxhash64 slow in lambdas."""
+    """A number of 63 bits for a word, from its CRC-32; it needs no configuration lookup per call, which makes xxhash64 slow in lambdas. Different words may share it."""
     return F.crc32(word.cast("binary")) * F.lit(SPREAD)
 
 
@@ -97,10 +104,10 @@ def with_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: ~x.rlike(r"^[\x20\x09-\x0D]*$"))
     a = docs.select(*keep, F.filter(F.split(t, SPACE_PATTERN), lambda w: w != "").alias("_w"), lines.alias("_l"), F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).alias("_s"), F.regexp_count(t, F.lit(r"\p{Lu}")).alias("_u"))
-    b = a.select(*keep, "_l", "_s", "_u", F.size("_w").alias("_n"), F.size("_l").alias("_m"), F.array_join("_w", "").alias("_c"), F.transform("_w", word_id).alias("_h"))
+    b = a.select(*keep, "_l", "_s", "_u", "_w", F.size("_w").alias("_n"), F.size("_l").alias("_m"), F.array_join("_w", "").alias("_c"), F.transform("_w", word_id).alias("_h"))
     windows = F.when(F.col("_n") >= WINDOW, window_hashes(F.col("_h"), F.col("_n"))).otherwise(F.array().cast("array<bigint>"))
     c = b.withColumn("_x", windows)
-    repeats = F.when(F.size(F.array_distinct("_x")) < F.size("_x"), repeated_words(F.col("_x"), WINDOW)).otherwise(0)
+    repeats = F.when(F.size(F.array_distinct("_x")) < F.size("_x"), repeated_words(F.col("_x"), F.col("_w"), WINDOW)).otherwise(0)
     words, lines, chars = F.greatest("_n", F.lit(1)), F.greatest("_m", F.lit(1)), F.greatest(F.length("_c"), F.lit(1))
     counts = {
         "n_words": F.col("_n"),
@@ -112,9 +119,9 @@ def with_figures(docs: DataFrame, text: str = "text") -> DataFrame:
     d = c.select(
         *keep,
         *(v.cast("long").alias(k) for k, v in counts.items()),
-        (F.size(F.filter("_h", lambda h: h.isin(*STOP_IDS))) / words).alias("stop_word_ratio"),
+        (F.size(F.filter("_w", lambda w: w.isin(*STOP_FORMS))) / words).alias("stop_word_ratio"),
         (F.col("_u") / chars).alias("capital_ratio"),
-        (F.size(F.filter(F.zip_with("_h", F.slice("_h", 2, F.greatest(F.col("_n") - 1, F.lit(0))), lambda x, y: x == y), lambda same: same)) / words).alias("stutter_ratio"),
+        (F.size(F.filter(F.zip_with("_w", F.slice("_w", 2, F.greatest(F.col("_n") - 1, F.lit(0))), lambda x, y: x == y), lambda same: same)) / words).alias("stutter_ratio"),
         (F.size(F.filter("_l", lambda x: F.ltrim(x).rlike(r"^[-*•·]"))) / lines).alias("bullet_line_ratio"),
         (F.size(F.filter("_l", lambda x: F.rtrim(x).endswith("...") | F.rtrim(x).endswith("…"))) / lines).alias("ellipsis_line_ratio"),
         words.alias("_words"),

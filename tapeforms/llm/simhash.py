@@ -53,15 +53,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id_col, fp): fp is the fingerprint as a signed long."""
+    """(id_col, _t, fp): _t is a hash of the text, fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=[id_col, "fp"])
+            prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=[id_col, "_t", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, fp long")
+    return docs.select(id_col, F.xxhash64(text).alias("_t"), text).mapInArrow(run, f"`{id_col}` {kind}, _t long, fp long")
 
 
 def bounds(budget: int) -> list[tuple[int, int]]:
@@ -171,24 +171,30 @@ def links(prints: DataFrame, budget: int = BUDGET, block: int = BLOCK) -> DataFr
     return dealt.select("i", "k", "a", "b", "chunk", "fp").mapInArrow(run, "u long, v long")
 
 
+def _placed(prints: DataFrame, id_col: str, budget: int, block: int) -> DataFrame:
+    """(fp, least, first, component) of each distinct fingerprint: its least id, and the first row that has an id, by id and hash of the text."""
+    row = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("i"), F.col("_t").alias("t")))
+    nodes = shared.cut(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.min(row).alias("first")))
+    groups = shared.components(links(nodes.select("fp"), budget, block))
+    return shared.cut(nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
     """(id_col, fingerprint, component_id) for each row of docs; component_id is the least id that links reach."""
     prints = shared.cut(fingerprints(docs, id_col, text, shingle))
-    nodes = shared.cut(prints.groupBy("fp").agg(F.min(id_col).alias("least")))
-    groups = shared.components(links(nodes.select("fp"), budget, block))
-    placed = shared.cut(nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
-    heads = shared.cut(shared.least_of(placed, "component", "least", "component_id").select("fp", "component_id"))
+    heads = shared.cut(shared.least_of(_placed(prints, id_col, budget, block), "component", "least", "component_id").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return shared.sized_join(prints, heads, ["fp"], "inner").select(id_col, hexed, "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """One row of each component: that with the least id and, of rows with that id, the least text (by hash); of equal rows
-    one. Rows without an id stay, as nothing can stand for them."""
-    found = near_duplicates(docs, id_col, text, **how)
-    heads = shared.cut(found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).agg(F.count(F.lit(1)).alias("_n")))
-    rows = shared.packed(docs).withColumn("_id", F.col(f"_row.{id_col}"))
-    named = shared.sized_join(rows.where("_id is not null"), heads, ["_id"], "inner")
-    # Only rows that share an id are shuffled.
-    one = named.where("_n > 1").groupBy("_id").agg(F.min_by("_row", F.struct(F.xxhash64(f"_row.{text}"), F.xxhash64("_row"))).alias("_row"))
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, budget: int = BUDGET, block: int = BLOCK) -> DataFrame:
+    """One row of each component: that with the least id and, of rows with that id in the component, the least text (by hash); of equal
+    rows one. Rows that share an id but are no near-duplicates are judged apart. Rows without an id stay, as nothing can stand for them."""
+    prints = shared.cut(fingerprints(docs, id_col, text, shingle))
+    heads = shared.cut(_placed(prints, id_col, budget, block).groupBy("component").agg(F.min("first").alias("_h")).where("_h is not null").select(F.col("_h.i").alias("_id"), F.col("_h.t").alias("_t")))
+    rows = shared.packed(docs).withColumns({"_id": F.col(f"_row.{id_col}"), "_t": F.xxhash64(f"_row.{text}")})
+    counted = shared.cut(shared.sized_join(prints.select(F.col(id_col).alias("_id"), "_t"), heads, ["_id", "_t"], "inner").groupBy("_id", "_t").agg(F.count(F.lit(1)).alias("_n")))
+    named = shared.sized_join(rows.where("_id is not null"), counted, ["_id", "_t"], "inner")
+    # Only rows that share id and text are shuffled.
+    one = named.where("_n > 1").groupBy("_id", "_t").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return named.where("_n = 1").select("_row").unionByName(one.select("_row")).unionByName(rows.where("_id is null").select("_row")).select("_row.*")

@@ -165,6 +165,16 @@ def test_quality(docs, none):
         assert tuple(r[2:7]) == want, r.doc_id
         assert r.base_failed == (want[0] < 20 or 100 * want[4] > 30 * want[0]) and not (r.kept and r.base_failed)
     assert quality.kept(none).count() == 0 and quality.kept(docs).columns == docs.columns
+    # Two words of equal CRC-32 are two words.
+    head = " ".join(f"w{i}" for i in range(7))
+    texts = [f"{head} plumless and {head} buckeroo", "plumless buckeroo " * 15, f"{head} plumless {head} buckeroo {head} plumless", "buckeroo buckeroo " * 3]
+    same = docs.sparkSession.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.judged(same).collect()}
+    assert zlib.crc32(b"plumless") == zlib.crc32(b"buckeroo")
+    for i, t in enumerate(texts):
+        assert got[i].n_repeat_words == figures(t)[4], i
+    assert got[0].n_repeat_words == 0 < got[2].n_repeat_words
+    assert got[1].stutter_ratio == 0 and got[3].stutter_ratio == 5 / 6
     clash = docs.withColumnsRenamed({"lang": "n_words", "h": "kept"})
     assert quality.kept(clash).columns == clash.columns and quality.kept(clash).count() == quality.kept(docs).count()
 
@@ -391,6 +401,27 @@ def test_html_names_delete_no_content(spark):
     assert {r.page_id: r.text for r in html_extract.extracted(df).collect()} == dict(enumerate(bodies.values()))
 
 
+def test_html_keeps_near_equal_articles_and_drops_menus_by_structure(spark):
+    links = "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(5))
+    report = prose(60).split()
+    parts = [prose(12).split() for _ in range(5)]
+    bodies = {
+        "<p>The formula <math>E=mc</math> holds</p>": "The formula E=mc holds",
+        "<p>Use <span class='search'>search</span> here, <a class='share' href=/x>share</a> there</p>": "Use search here, share there",
+        "<p>one</p><div id='respond'><p>no</p></div><ol class='commentlist'><li>no</li></ol>": "one",
+        f"<div class=q><ul>{links}</ul></div><p>real text with one <a href=/x>link</a></p>": "real text with one link",
+        f"<ul>{links}</ul>": "\n".join(f"Section {i}" for i in range(5)),
+        f"<article><p>one</p><ul>{links}</ul></article>": "one\n" + "\n".join(f"Section {i}" for i in range(5)),
+    }
+    rows = [(f"http://h{i}/", b, want) for i, (b, want) in enumerate(bodies.items())]
+    for i in range(12):  # one paragraph that differs in a word, and five of them
+        one = " ".join([*report[:30], f"town{i}", *report[30:]])
+        five = [" ".join([*p[:6], f"town{i}", *p[6:]]) for p in parts]
+        rows += [("http://weather/", f"<div class=w><p>{one}</p></div>", one), ("http://five/", "".join(f"<p>{x}</p>" for x in five), "\n".join(five))]
+    df = spark.createDataFrame([(i, u, b) for i, (u, b, _) in enumerate(rows)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extracted(df).collect()} == {i: w for i, (_, _, w) in enumerate(rows)}
+
+
 def test_html_templates_without_telling_names(spark):
     """Against a plain count: menus, offers and closing lines that vary in a word go on hosts with many pages; text stays, and so do equal pages."""
     rng = random.Random(6)
