@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,9 @@ BUFFER = 5  # neighbours per kept match that are ranked before overlaps go
 BLOCK = 512
 #: Distances are ranked at this precision, ties by end_idx, so that engines that sum in another order agree.
 DIGITS = 9
+TIE = 10.0**-DIGITS
+#: Error of a square by matrix product, as a part of the squares of the two; and pairs that are computed by component at once.
+PRODUCT, PAIRS = 1e-12, 100_000
 
 
 def eligible(window: int, horizon: int, q_end: str = "q_end") -> Column:
@@ -58,31 +61,46 @@ class Group:
         self.symbol, self.window, self.horizon, self.most = symbol, window, horizon, most
         self.at, self.z = np.empty(0, dtype=np.int64), None
         self.held: list[tuple[np.ndarray, ...]] = []  # query, candidate, distance, forward return, time
-        self.worst = np.empty(0)
+        self.worst, self.worst_at = np.empty(0), np.empty(0, dtype=np.int64)
         self.size = 0
 
     def add(self, at: np.ndarray, z: np.ndarray) -> None:
         self.at = np.concatenate((self.at, at))
         self.z = z if self.z is None else np.concatenate((self.z, z))
-        self.worst = np.full(len(self.at), np.inf)
+        self.worst, self.worst_at = np.full(len(self.at), np.inf), np.full(len(self.at), np.iinfo(np.int64).max)
 
-    def meet(self, at: np.ndarray, z: np.ndarray, fwd_ret: np.ndarray, end_ts: np.ndarray) -> None:
-        """Distances by matrix product; those that may be among the best again by component, since the product is less precise."""
+    def meet(self, at: np.ndarray, z: np.ndarray, fwd_ret: np.ndarray, end_ts: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """The candidates against the queries (those in rows only); gives how many each of these may look at. Squares come by matrix product, and again by component where they may matter."""
         squares = (z * z).sum(1)
-        for lo in range(0, len(self.at), 512):
-            q, q_at, worst = self.z[lo : lo + 512], self.at[lo : lo + 512], self.worst[lo : lo + 512]
-            near = (q * q).sum(1)[:, None] + squares[None, :] - 2 * q @ z.T
-            near[at[None, :] + self.horizon > q_at[:, None] - self.window] = np.inf
-            best = min(2 * self.most, len(at))  # twice as many as are kept
-            picked = np.argpartition(near, best - 1, axis=1)[:, :best]
-            of = np.take_along_axis(near, picked, axis=1)
-            i, c = np.nonzero(np.isfinite(of) & (of <= (worst * worst + 1e-6)[:, None]))
-            j = picked[i, c]
-            dist = np.round(np.sqrt(((q[i] - z[j]) ** 2).sum(1)), DIGITS)
-            self.held.append((i + lo, at[j], dist, fwd_ret[j], end_ts[j]))
-            self.size += len(i)
-        if self.size > 3 * len(self.at) * self.most:
-            self.keep_best()
+        rows = np.arange(len(self.at)) if rows is None else rows
+        looked = np.zeros(len(rows), dtype=np.int64)
+        for lo in range(0, len(rows), 512):
+            some = rows[lo : lo + 512]
+            q = self.z[some]
+            own = (q * q).sum(1)
+            near = own[:, None] + squares[None, :] - 2 * q @ z.T
+            near[at[None, :] + self.horizon > self.at[some][:, None] - self.window] = np.inf
+            looked[lo : lo + 512] = np.isfinite(near).sum(1)
+            error = PRODUCT * (own.max(initial=0) + squares.max(initial=0))
+            self.take(some, near - error, 2 * error, at, fwd_ret, end_ts, lambda i, j, z=z: ((self.z[i] - z[j]) ** 2).sum(1))
+        return looked
+
+    def take(self, rows: np.ndarray, lower: np.ndarray, width: np.ndarray | float, at: np.ndarray, fwd_ret: np.ndarray, end_ts: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+        """Holds the candidates that may be among the best of the queries in rows, with all that tie with these.
+
+        Squared distances lie between lower and lower + width (infinite: not to be looked at); exact(i, j) computes those of pairs.
+        """
+        best = min(self.most, len(at))
+        upper = lower + width
+        limit = np.minimum(np.partition(upper, best - 1, axis=1)[:, best - 1], self.worst[rows] ** 2)
+        limit = limit + 4 * TIE * np.sqrt(limit) + 4 * TIE * TIE
+        i, j = np.nonzero((lower <= limit[:, None]) & (lower < np.inf))
+        for lo in range(0, len(i), PAIRS):
+            a, b = rows[i[lo : lo + PAIRS]], j[lo : lo + PAIRS]
+            self.held.append((a, at[b], np.round(np.sqrt(exact(a, b)), DIGITS), fwd_ret[b], end_ts[b]))
+            self.size += len(a)
+            if self.size > 3 * max(len(self.at) * self.most, PAIRS):
+                self.keep_best()
 
     def keep_best(self) -> None:
         query, at, dist, fwd_ret, end_ts = (np.concatenate(c) for c in zip(*self.held, strict=True))
@@ -94,6 +112,7 @@ class Group:
         self.size = len(query)
         full = rank == self.most - 1
         self.worst[query[full]] = dist[order][full]
+        self.worst_at[query[full]] = at[order][full]
 
     def found(self) -> pa.RecordBatch | None:
         if not self.held:
