@@ -104,19 +104,22 @@ def random_means(indexed: DataFrame, decisions: DataFrame, s: Settings, resample
     """(symbol, resample, mean_ret): as many entries as decisions (symbol, idx), at random bars of the same minutes of day.
 
     Each draw comes from a hash of seed, resample and the decision's number, with replacement among the bars of that
-    minute at which the strategy could have decided.
+    minute at which the strategy could have decided. The returns of a minute are one array, a value per session, which its decisions meet; draws are looked up in it and summed within the task,
+    so what is shuffled after that grows with the resamples, not with the decisions. Decisions are numbered within sessions and over the table of sessions.
     """
     order = W.partitionBy("symbol", "session").orderBy("idx")
     c = s.cost_bps * 1e-4
     rows = indexed.withColumns({"_in": F.lead("open", 1).over(order), "_out": F.lead("open", 1 + s.horizon).over(order)})
     open_to = rows.where((F.col("idx") >= max(s.min_history_bars, min_idx)) & (F.col("bars_left") >= s.horizon + 1))
-    bucket = W.partitionBy("symbol", "minute")
-    pool = open_to.select("symbol", "minute", (F.row_number().over(bucket.orderBy("idx")) - 1).alias("pick"), F.count(F.lit(1)).over(bucket).alias("size"), (F.col("_out") * (1 - c) / (F.col("_in") * (1 + c)) - 1).alias("ret"))
-    sizes = pool.select("symbol", "minute", "size").distinct()
-    wanted = decisions.join(indexed.select("symbol", "idx", "minute"), ["symbol", "idx"]).withColumn("ord", F.row_number().over(W.partitionBy("symbol").orderBy("idx")) - 1)
-    drawn = wanted.join(sizes, ["symbol", "minute"]).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    ret = F.col("_out") * (1 - c) / (F.col("_in") * (1 + c)) - 1
+    pools = open_to.groupBy("symbol", "minute").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", ret.alias("ret")))), lambda x: x["ret"]).alias("pool"))
+    decided = decisions.select("symbol", "idx").join(indexed.select("symbol", "session", "idx", "minute"), ["symbol", "idx"])
+    sizes = decided.groupBy("symbol", "session").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("symbol", "session", F.coalesce(F.sum("_n").over(W.partitionBy("symbol").orderBy("session").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    wanted = decided.withColumn("_k", F.row_number().over(order) - 1).join(before, ["symbol", "session"]).select("symbol", "minute", (F.col("_before") + F.col("_k")).alias("ord"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(s.seed), "resample", "ord")), 1, 13), 16, 10).cast("long")
-    picked = drawn.withColumn("pick", u % F.col("size")).join(pool.select("symbol", "minute", "pick", "ret"), ["symbol", "minute", "pick"])
+    drawn = wanted.join(pools, ["symbol", "minute"]).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    picked = drawn.select("symbol", "resample", F.get("pool", (u % F.size("pool")).cast("int")).alias("ret"))
     return picked.groupBy("symbol", "resample").agg(F.avg("ret").alias("mean_ret"))
 
 

@@ -21,7 +21,7 @@ from tapeforms.operators.neighbours import BUFFER, PAIRS, Group
 from tapeforms.operators.windows import FLAT, forward_return, log_returns
 
 #: Bars of a chunk, about; sessions stay whole.
-CHUNK = 4096
+CHUNK = 2048
 ROWS = 256
 KINDS = {"at": "<i8", "r": "<f8", "pos": "<i8", "fwd_ret": "<f8", "end_ts": "<i8"}
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapeforms.functions import metrics
-from tapeforms.operators import ledger
+from tapeforms.operators import asof, ledger
 
 # How a broker's order states map to ours; any other state is open.
 STATES = {"filled": "filled", "rejected": "rejected", "canceled": "rejected", "expired": "rejected"}
@@ -67,10 +67,13 @@ def bars_since(bars: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def paired_trades(orders: DataFrame) -> DataFrame:
-    """Round trips of filled orders: an exit pairs with the newest entry since the last exit, so it is one whose predecessor is an entry."""
-    order = W.partitionBy("symbol").orderBy("filled_at", "broker_order_id")
-    before = F.lag(F.struct("intent", "qty", "filled_avg_price", "filled_at")).over(order)
-    rows = orders.where("status = 'filled' and filled_at is not null").withColumn("_e", before).where("intent <> 'entry' and _e.intent = 'entry'")
+    """Round trips of filled orders: an exit pairs with the newest entry since the last exit, so it is one whose predecessor is an entry.
+
+    Predecessors are found within days, and carried over from the day before that had any, so no symbol is one task.
+    """
+    filled = orders.where("status = 'filled' and filled_at is not null and symbol is not null")
+    before = asof.previous(filled, ["symbol"], "filled_at", ["broker_order_id"], F.struct("intent", "qty", "filled_avg_price", "filled_at"), "_e")
+    rows = before.where("intent <> 'entry' and _e.intent = 'entry'")
     e, x = F.col("_e.filled_avg_price"), F.col("filled_avg_price")
     return rows.select("symbol", F.col("_e.filled_at").alias("entry_ts"), F.col("filled_at").alias("exit_ts"), F.col("_e.qty").alias("qty"), e.alias("entry_price"), x.alias("exit_price"), (x / e - 1).alias("net_ret"), (F.col("_e.qty") * (x - e)).alias("pnl"), F.col("intent").alias("exit_reason"))
 

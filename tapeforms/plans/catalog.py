@@ -238,8 +238,8 @@ FROM trades"""
 
 
 def walk(spark: SparkSession, sf_dir: str, s: Settings) -> tuple[DataFrame, DataFrame, DataFrame]:
-    x = bars(spark, sf_dir)
-    asked = backtest.asked(signals.signals(x, s), x, s).persist()  # used up to four times, and small next to what it comes from
+    x = folders.cut(bars(spark, sf_dir))  # both are used several times, and small next to what they come from
+    asked = folders.cut(backtest.asked(signals.signals(x, s), x, s))
     return x, asked, backtest.trades(asked, x, s)
 
 

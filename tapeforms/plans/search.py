@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeforms.operators import diagonals, neighbours, shape_index, windows
+from tapeforms.operators import asof, diagonals, neighbours, shape_index, windows
 from tapeforms.plans import catalog as C
 
 TIES = (2, 3, 5, 2)  # windows of two bars have two shapes, so nearly all distances are ties
@@ -32,3 +32,11 @@ def knn_index_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = shapes(spark, sf_dir, C.W, C.H, 1)
     found = shape_index.nearest_by_index(w, C.W, C.H, C.K, C.W)
     return shape_index.computed_share(found, w, neighbours.unconditional(w, C.W, C.H))
+
+
+@C.query("asof_join", f"WITH {C.BARS_SQL} SELECT e.event_id, x.idx, x.ts::VARCHAR AS bar_ts, {C.num('x.close', 'close')} FROM events e ASOF LEFT JOIN x ON e.ts >= x.ts")
+def asof_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bar in regular hours that began last at the time of each event."""
+    times = C.table(spark, sf_dir, "events").select("event_id", F.lit("EVT").alias("symbol"), "ts")
+    bars = C.bars(spark, sf_dir).select("symbol", "ts", "idx", "close")
+    return C.shown(asof.asof(times, bars).select("event_id", "found.idx", F.col("found.ts").alias("bar_ts"), "found.close"))
