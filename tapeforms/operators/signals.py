@@ -72,25 +72,38 @@ def template_distances(w: DataFrame, table: DataFrame) -> DataFrame:
     return w.where("valid").crossJoin(F.broadcast(table)).select("symbol", F.col("end_idx").alias("q_end"), "name", "direction", "ord", F.round(F.sqrt(squares), neighbours.DIGITS).alias("dist"))
 
 
+def with_template_figures(rows: DataFrame, s: Settings) -> DataFrame:
+    """rows (z, valid, …) with pattern, distance, n_matched, any_long, any_short and matched of each valid window, without a join."""
+    zscore = s.normalization == "logret_zscore"
+
+    def dist(t: list[float]) -> Column:
+        squares = F.aggregate(F.zip_with("z", F.array(*(F.lit(v) for v in t)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
+        return F.round(F.sqrt(squares), neighbours.DIGITS)
+
+    near = F.array(*(F.struct(dist(templates.template_vector(a, s.window, zscore)).alias("dist"), F.lit(i).alias("ord"), F.lit(n).alias("name"), F.lit(d).alias("direction")) for i, (n, d, a) in enumerate(templates.chosen(s.template_patterns))))
+    best, met = F.array_min("_near"), F.filter("_near", lambda x: x["dist"] <= s.template_threshold)
+    out = rows.withColumn("_near", F.when(F.col("valid"), near)).withColumns({"_best": best, "_met": met})
+    sides = {f"any_{d.lower()}": F.array_contains(F.transform("_met", lambda x: x["direction"]), d) for d in ("LONG", "SHORT")}
+    return out.withColumns({"pattern": F.col("_best.name"), "distance": F.col("_best.dist"), "n_matched": F.when(F.col("_met").isNotNull(), F.size("_met")), "matched": F.transform("_met", lambda x: x["name"]), **sides}).drop("_near", "_best", "_met")
+
+
+def template_verdict(out: DataFrame, s: Settings) -> DataFrame:
+    """Bars with the figures of their current window (all null: none), and the direction and reason that follow."""
+    ready = F.col("valid")
+    verdict = F.when(F.col("n_matched") == 0, "too_far").when(F.col("any_long") & F.col("any_short"), "conflict").when(F.col("any_short") & F.lit(not s.enable_shorts), "shorts_disabled").otherwise("rule")
+    reason = F.when(ready.isNull(), "no_window").when(~ready, "degenerate_window").otherwise(verdict)
+    direction = F.when(F.col("reason") == "rule", F.when(F.col("any_long"), "LONG").otherwise("SHORT")).otherwise("NO_TRADE")
+    return out.withColumn("reason", reason).withColumn("direction", direction)
+
+
 @register("template")
 def template(indexed: DataFrame, s: Settings) -> DataFrame:
     """The direction of the templates within the threshold, where they agree; pattern is the nearest, near or not."""
     if s.features != "close":
         raise ValueError("templates are drawn on closes")
     w = windows.windows(indexed, s.window, s.horizon, "close", s.normalization)
-    met = F.col("dist") <= s.template_threshold
-    per = template_distances(w, template_table(indexed, s)).groupBy("symbol", "q_end").agg(
-        F.min_by("name", F.struct("dist", "ord")).alias("pattern"), F.min("dist").alias("distance"), F.count_if(met).alias("n_matched"),
-        F.coalesce(F.bool_or(met & (F.col("direction") == "LONG")), F.lit(False)).alias("any_long"), F.coalesce(F.bool_or(met & (F.col("direction") == "SHORT")), F.lit(False)).alias("any_short"),
-        F.transform(F.sort_array(F.collect_list(F.when(met, F.struct("ord", "name")))), lambda x: x["name"]).alias("matched"),
-    )
-    all_ = w.select("symbol", F.col("end_idx").alias("q_end"), "valid").join(per, ["symbol", "q_end"], "left")
-    ready = F.col("valid")
-    out = _with_window(indexed, s, all_)
-    verdict = F.when(F.col("n_matched") == 0, "too_far").when(F.col("any_long") & F.col("any_short"), "conflict").when(F.col("any_short") & F.lit(not s.enable_shorts), "shorts_disabled").otherwise("rule")
-    reason = F.when(ready.isNull(), "no_window").when(~ready, "degenerate_window").otherwise(verdict)
-    direction = F.when(F.col("reason") == "rule", F.when(F.col("any_long"), "LONG").otherwise("SHORT")).otherwise("NO_TRADE")
-    return out.withColumn("reason", reason).withColumn("direction", direction).select(*COLUMNS, "q_end", "pattern", "distance", "n_matched", "matched")
+    per = with_template_figures(w.select("symbol", F.col("end_idx").alias("q_end"), "z", "valid"), s).drop("z")
+    return template_verdict(_with_window(indexed, s, per), s).select(*COLUMNS, "q_end", "pattern", "distance", "n_matched", "matched")
 
 
 def with_candles(indexed: DataFrame) -> tuple[DataFrame, list[candles.Candle]]:
@@ -105,22 +118,21 @@ def fires(pattern: candles.Pattern, ago: list[candles.Candle]) -> Column:
     return F.coalesce(pattern.fires(*reversed(ago[: pattern.bars])), F.lit(False))
 
 
-def in_trend(pattern: candles.Pattern, lookback: int) -> Column:
-    """Whether closes before the pattern moved against its direction over `lookback` bars; false without enough bars."""
+def in_trend(pattern: candles.Pattern, lookback: int, close_ago: Callable[[int], Column] | None = None) -> Column:
+    """Whether closes before the pattern moved against its direction over `lookback` bars; false without enough bars. close_ago(n): the close n bars ago in the session."""
     if lookback <= 0:
         return F.lit(True)
     order = W.partitionBy("symbol", "session").orderBy("idx")
-    before, start = F.lag("close", pattern.bars).over(order), F.lag("close", pattern.bars - 1 + lookback).over(order)
+    close_ago = close_ago or (lambda n: F.lag("close", n).over(order))
+    before, start = close_ago(pattern.bars), close_ago(pattern.bars - 1 + lookback)
     return F.coalesce(before < start if pattern.direction == "LONG" else before > start, F.lit(False))
 
 
-@register("candles")
-def candle(indexed: DataFrame, s: Settings) -> DataFrame:
-    """The direction of the candlestick patterns that end at the bar, where they agree; pattern is the first in order."""
+def candle_verdict(rows: DataFrame, ago: list[candles.Candle], s: Settings, close_ago: Callable[[int], Column] | None = None) -> DataFrame:
+    """Bars with matched, the patterns that end there, and the direction and reason that follow."""
     enabled = candles.chosen(s.candle_patterns)
-    rows, ago = with_candles(indexed)
-    rows = rows.withColumns({f"_fired_{p.name}": fires(p, ago) & in_trend(p, s.candle_trend_lookback) for p in enabled})
-    rows = rows.withColumn("matched", F.filter(F.array(*(F.when(F.col(f"_fired_{p.name}"), F.lit(p.name)) for p in enabled)), lambda x: x.isNotNull()))
+    rows = rows.withColumns({f"_fired_{p.name}": fires(p, ago) & in_trend(p, s.candle_trend_lookback, close_ago) for p in enabled})
+    rows = rows.withColumn("matched", F.filter(F.array(*(F.when(F.col(f"_fired_{p.name}"), F.lit(p.name)) for p in enabled)), lambda x: x.isNotNull())).drop(*(f"_fired_{p.name}" for p in enabled))
 
     def any_of(direction: str) -> Column:
         return F.arrays_overlap("matched", F.array(*(F.lit(p.name) for p in enabled if p.direction == direction)).cast("array<string>"))
@@ -128,4 +140,10 @@ def candle(indexed: DataFrame, s: Settings) -> DataFrame:
     verdict = F.when(F.size("matched") == 0, "no_pattern").when(any_of("LONG") & any_of("SHORT"), "conflict").when(any_of("SHORT") & F.lit(not s.enable_shorts), "shorts_disabled").otherwise("rule")
     out = rows.withColumn("reason", verdict)
     direction = F.when(F.col("reason") == "rule", F.when(any_of("LONG"), "LONG").otherwise("SHORT")).otherwise("NO_TRADE")
-    return out.withColumn("direction", direction).select(*COLUMNS, F.get(F.col("matched"), F.lit(0)).alias("pattern"), F.size("matched").alias("n_matched"), "matched")
+    return out.withColumn("direction", direction)
+
+
+@register("candles")
+def candle(indexed: DataFrame, s: Settings) -> DataFrame:
+    """The direction of the candlestick patterns that end at the bar, where they agree; pattern is the first in order."""
+    return candle_verdict(*with_candles(indexed), s).select(*COLUMNS, F.get(F.col("matched"), F.lit(0)).alias("pattern"), F.size("matched").alias("n_matched"), "matched")

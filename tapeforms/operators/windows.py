@@ -32,7 +32,7 @@ def raw(x: Column) -> tuple[Column, Column]:
 
 def zscore(x: Column) -> tuple[Column, Column]:
     """Minus the mean, by the population deviation, over all values; not valid, and not divided, where there is none."""
-    n = F.size(x)
+    n = F.when(F.size(x) > 0, F.size(x))
     mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
     centred = F.transform(F.arrays_zip(x.alias("v"), F.array_repeat(mean, n).alias("m")), lambda p: p["v"] - p["m"])
     spread = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, v: s + v * v) / n)

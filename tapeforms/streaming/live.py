@@ -10,6 +10,7 @@ from tapeforms.operators import bars as B
 from tapeforms.operators import simulator
 from tapeforms.plans.settings import Settings
 from tapeforms.sources.store import BarStore, EventLog
+from tapeforms.streaming.signals import require_survivor
 
 
 def closed_bars(ticks: DataFrame, minutes: int = 1, late: str = "0 seconds", symbol: str = "EVT") -> DataFrame:
@@ -48,14 +49,19 @@ def drained(bars: DataFrame, name: str) -> DataFrame:
     return bars.sparkSession.table(name)
 
 
-def trade(bars: DataFrame, journal: EventLog, checkpoint: str, s: Settings, minutes: int, cash: float = simulator.CASH, every: str | None = None) -> StreamingQuery:
+def trade(bars: DataFrame, journal: EventLog, checkpoint: str, s: Settings, minutes: int, cash: float = simulator.CASH, every: str | None = None, verdicts: DataFrame | None = None, survivors_only: bool = True) -> StreamingQuery:
     """The trading loop on a stream of closed bars (symbol, idx, ts, minute, open, close, direction).
 
+    It trades survivors only: without a verdict (of ledger.verdicts()) that lets the configuration through it raises NotASurvivor.
+
     The journal, a log with the columns of simulator.REPLAY, is all the state there is: each batch goes on from the last row of
     every symbol there, so a loop that was killed and started again decides on each bar once, and a batch that is run
     again adds nothing. `every`, such as "60 seconds", is the time between two looks at the stream; without it each batch follows the one before.
     """
 
+    if survivors_only:
+        require_survivor(verdicts, s)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         known = journal.read()
         names = known.columns

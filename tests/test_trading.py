@@ -84,7 +84,7 @@ def test_a_loop_that_is_started_again_goes_on_and_decides_once(spark, indexed, t
     for part, (a, b) in enumerate(((0, 20), (10, 45), (0, 60))):  # bars come again after each start
         rows.where(f"idx between {a} and {b}").coalesce(1).write.parquet(str(tmp_path / f"in{part}"))
         stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / f"in{part}"))
-        query = live.trade(stream, log, str(tmp_path / f"ck{part}"), s, 1, 10_000.0)
+        query = live.trade(stream, log, str(tmp_path / f"ck{part}"), s, 1, 10_000.0, survivors_only=False)
         query.processAllAvailable()
         query.stop()
     assert log.read().orderBy("idx").collect() == whole
