@@ -429,7 +429,9 @@ query("knn_dedup", f"WITH {PAIRS_SQL} SELECT symbol, q_end, kept_rank, rank, end
 query("knn_match_stats", f"WITH {PAIRS_SQL} SELECT symbol, q_end, n, {num('mean', 'mean')}, {num('median', 'median')}, {num('pct_positive', 'pct_positive')} FROM stats")(lambda s, d: shown(neighbours.match_stats(kept_of(s, d))))
 SIGNAL_COLUMNS = "symbol, session::VARCHAR AS session, idx, ts::VARCHAR AS ts, direction, reason"
 query("knn_signals", f"WITH {KNN_SQL} SELECT {SIGNAL_COLUMNS}, q_end, n, {', '.join(num(c, c) for c in ('mean', 'median', 'pct_positive', 'uncond_mean', 'threshold'))}, n_candidates FROM knn")(lambda s, d: shown(signals.signals(bars(s, d), KNN)))
-query("template_vectors", f"WITH {TEMPLATE_SQL} SELECT name, direction, ord::BIGINT AS ord, {', '.join(num(f't[{i + 1}]::DOUBLE', f't{i}') for i in range(W))} FROM tpl")(lambda s, d: shown(spread(signals.template_table(bars(s, d), TEMPLATE), "t", W).drop("t")))
+query("template_vectors", f"WITH {TEMPLATE_SQL} SELECT symbol, q_end, pattern, {', '.join(num(f't[{i + 1}]::DOUBLE', f't{i}') for i in range(W))} FROM tw JOIN tpl ON name = pattern")(
+    lambda s, d: (lambda x: shown(spread(x.select("symbol", "q_end", "pattern").where("q_end is not null and pattern is not null").distinct().join(F.broadcast(signals.template_table(x, TEMPLATE)), F.col("pattern") == F.col("name")).select("symbol", "q_end", "pattern", "t"), "t", W).drop("t")))(signals.signals(bars(s, d), TEMPLATE))
+)
 query("template_distances", f"WITH {TEMPLATE_SQL} SELECT symbol, q_end, name, direction, ord::BIGINT AS ord, {num('dist', 'dist')} FROM td")(lambda s, d: shown(signals.template_distances(all_windows(s, d), signals.template_table(bars(s, d), TEMPLATE))))
 query("template_signals", f"WITH {TEMPLATE_SQL} SELECT {SIGNAL_COLUMNS}, q_end, pattern, {num('distance', 'distance')}, n_matched, matched FROM template")(lambda s, d: shown(signals.signals(bars(s, d), TEMPLATE).withColumn("matched", F.array_join("matched", ","))))
 query("candle_anatomy", f"WITH {BARS_SQL} SELECT symbol, idx, {num('abs(close - open)', 'body')}, {num('high - low', 'rng')}, {num('high - greatest(open, close)', 'upper')}, {num('least(open, close) - low', 'lower')}, close > open AS bullish, close < open AS bearish, {num('(open + close) / 2', 'mid')} FROM x")(
@@ -500,8 +502,15 @@ OVERLAY_SQL = f"{PAIRS_SQL}, m AS (SELECT DISTINCT end_idx FROM kept), o AS (SEL
 query("overlay_rebase", f"WITH {OVERLAY_SQL} SELECT 'EVT' AS symbol, end_idx, step::BIGINT AS step, {num(f'close / first_value(close) OVER (PARTITION BY end_idx ORDER BY step)', 'level')} FROM p WHERE end_idx >= {W}")(lambda s, d: shown(journal.overlay(bars(s, d), kept_of(s, d).select("symbol", "end_idx").distinct(), W, H)))
 HISTOGRAM_SQL = f"{WINDOWS_SQL}, hs AS (SELECT count(*) AS c, min(fwd_ret) AS a, max(fwd_ret) AS b, least(30, greatest(5, count(*) // 2)) AS k FROM w WHERE fwd_ret IS NOT NULL), hb AS (SELECT least(k - 1, floor((fwd_ret - a) / ((b - a) / k)))::BIGINT AS bin, a, (b - a) / k AS wd FROM w, hs WHERE fwd_ret IS NOT NULL)"
 query("fwd_histogram", f"WITH {HISTOGRAM_SQL} SELECT bin, {num('any_value(a) + bin * any_value(wd)', 'lo')}, {num('any_value(a) + (bin + 1) * any_value(wd)', 'hi')}, count(*) AS n FROM hb GROUP BY bin")(lambda s, d: shown(journal.histogram(all_windows(s, d), "fwd_ret")))
-IDENTITIES = {c.signal_source: c.identity_json() for c in (KNN, TEMPLATE, CANDLE)}
-query("config_hash", "SELECT source, substr(sha256(identity), 1, 12) AS config_hash FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in IDENTITIES.items()) + ") AS t(source, identity)")(lambda s, d: s.createDataFrame(list(IDENTITIES.items()), "source string, identity string").select("source", F.substring(F.sha2("identity", 256), 1, 12).alias("config_hash")))
+IDENTITIES = {c.signal_source: c.identity_json() for c in (KNN, TEMPLATE, CANDLE)}  # of the symbol EVT
+
+
+@query("config_hash", "SELECT source, event_type AS symbol, substr(sha256(replace(identity, '\"EVT\"', '\"' || event_type || '\"')), 1, 12) AS config_hash FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in IDENTITIES.items()) + ") AS t(source, identity), (SELECT DISTINCT event_type FROM events)")
+def config_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hash of each of the three configurations for each symbol that the ticks may be taken to have."""
+    symbols = table(spark, sf_dir, "events").select(F.col("event_type").alias("symbol")).distinct()
+    named = [F.struct(F.lit(k).alias("source"), F.replace(F.lit(v), F.lit('"EVT"'), F.concat(F.lit('"'), "symbol", F.lit('"'))).alias("identity")) for k, v in IDENTITIES.items()]
+    return symbols.select("symbol", F.inline(F.array(*named))).select("source", "symbol", F.substring(F.sha2("identity", 256), 1, 12).alias("config_hash"))
 
 
 @query("stream_closed_bars", f"WITH {BARS_SQL} SELECT symbol, ts::VARCHAR AS ts, {PRICE_SQL}, volume FROM b WHERE ts < (SELECT time_bucket(INTERVAL '{MINUTES} minutes', max(ts)) FROM events WHERE value > 0)")

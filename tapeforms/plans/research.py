@@ -18,11 +18,15 @@ from tapeforms.operators import backtest, ledger, neighbours, signals, windows
 from tapeforms.operators import bars as B
 from tapeforms.plans.settings import Settings, settings
 from tapeforms.sources import folders
-from tapeforms.sources.store import EventLog
+from tapeforms.sources.store import Claims, EventLog
 
 FIGURES = ("n_trades", "mean_net_ret", "hit_rate", "sharpe", "total_return", "max_drawdown")
 
 
+class AlreadyClaimed(RuntimeError):
+    """Another evaluator is spending, or has spent, this evaluation."""
+
+
 @dataclass
 class Match:
     """The figures of the window current at a time (a row per symbol), and its kept neighbours, best first."""
@@ -58,12 +62,23 @@ class Study:
     def __init__(self, spark: SparkSession, folder: str, bars: DataFrame):
         self.spark, self.bars = spark, bars
         self.runs, self.configs, self.evaluations, self.trades = (EventLog(spark, f"{folder}/{n}", schema) for n, schema in (("runs", self.RUNS), ("configs", self.CONFIGS), ("evaluations", self.EVALUATIONS), ("trades", self.TRADES)))
+        self.claims = Claims(spark, f"{folder}/claims")
 
     def ledger(self) -> DataFrame:
         return ledger.ledger(ledger.current(self.runs.read(), "id"))
 
     def verdicts(self) -> DataFrame:
-        return ledger.verdicts(self.evaluations.read())
+        """A row per evaluation that was spent. One that was claimed and then never written down, for its evaluator was killed in between, is CRASHED with an id below 0."""
+        known = ledger.verdicts(self.evaluations.read()).select("evaluation_id", "config_hash", "verdict")
+        claims = self.spark.createDataFrame([(name.rsplit("-", 1)[0],) for name in self.claims.taken()], "config_hash string").groupBy("config_hash").agg(F.count(F.lit(1)).alias("_claims"))
+        written = known.groupBy("config_hash").agg(F.count(F.lit(1)).alias("_n"))
+        lost = claims.join(written, "config_hash", "left").where(F.col("_claims") > F.coalesce("_n", F.lit(0)))
+        numbers = F.explode(F.sequence(F.coalesce("_n", F.lit(0)) + 1, F.col("_claims")))
+        return known.unionByName(lost.select("config_hash", numbers.alias("_k")).select((-F.col("_k")).cast("long").alias("evaluation_id"), "config_hash", F.lit("CRASHED").alias("verdict")))
+
+    def spent(self, config_hash: str) -> int:
+        """How many evaluations of the configuration were claimed."""
+        return sum(name.rsplit("-", 1)[0] == config_hash for name in self.claims.taken())
 
     def banner(self) -> str:
         return ledger.banner(self.runs.read(), self.verdicts()).first()["banner"]
@@ -115,9 +130,11 @@ class Study:
         self._ended(run, "ok", metrics)
         return metrics
 
-    def evaluate(self, config_hash: str, resamples: int = 1000, **unhashed: Any) -> tuple[bool, list[str], dict[str, Any]]:
+    def evaluate(self, config_hash: str, resamples: int = 1000, number: int | None = None, **unhashed: Any) -> tuple[bool, list[str], dict[str, Any]]:
         """The one evaluation of a configuration on what is after the split: (survived, reasons, figures). It is spent before it is computed.
 
+        Which evaluation it is, from 0, is `number`, by default the next. Of several evaluators that ask for the same one, the first to claim it goes on, and
+        the others get AlreadyClaimed.
         `unhashed` are settings that are not part of the identity, such as the seed.
         """
         stored = self.configs.read().where(F.col("config_hash") == config_hash).first()
@@ -130,6 +147,9 @@ class Study:
         train = done.orderBy(F.desc("started_at"), F.desc("id")).first()
         if train is None:
             raise ValueError("no finished backtest of this configuration")
+        number = self.spent(config_hash) if number is None else number
+        if not self.claims.take(f"{config_hash}-{number}"):
+            raise AlreadyClaimed(f"evaluation {number} of {config_hash}")
         run = self._begun("evaluate", s)
         self.evaluations.append([(run, config_hash, self._now(), None, None)])
         try:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +29,43 @@ class BarStore:
     def _manifest(self) -> DataFrame:
         return self.spark.read.schema(self.MANIFEST).json(f"{self.folder}/manifest")
 
-    def read(self) -> DataFrame:
-        """All bars; version, symbol and month are partitions, so files that the manifest has replaced are pruned, and a filter on symbol or ts reaches the rest."""
+    def seq(self) -> int:
+        """The number of the latest version; -1 of an empty store."""
+        return self._manifest().agg(F.max("seq")).first()[0] if self._exists(f"{self.folder}/manifest") else -1
+
+    def read(self, at: int | None = None, months: DataFrame | None = None, begin: str | None = None, end: str | None = None) -> DataFrame:
+        """All bars; version, symbol and month are partitions, so files that the manifest has replaced are pruned, and a filter on symbol or ts reaches the rest.
+
+        at: as they were after that version. months (symbol, month): only these. begin, end: only bars from and until these times, of whose months alone files are read.
+        """
         if not self._exists(f"{self.folder}/manifest"):
             return self.spark.createDataFrame([], BARS)
         names = BARS.split(", ")
         stored = ", ".join([*(n for n in names if not n.startswith("symbol ")), "v string", "symbol string", "month string"])
-        latest = self._manifest().groupBy("symbol", "month").agg(F.max_by("v", "seq").alias("v"))
-        rows = self.spark.read.schema(stored).parquet(f"{self.folder}/data").join(latest, ["v", "symbol", "month"], "left_semi")
-        return rows.select(*(n.split()[0] for n in names))
+        known = self._manifest() if at is None else self._manifest().where(F.col("seq") <= at)
+        latest = known.groupBy("symbol", "month").agg(F.max_by("v", "seq").alias("v"))
+        if months is not None:
+            latest = latest.join(months, ["symbol", "month"], "left_semi")
+        rows = self.spark.read.schema(stored).parquet(f"{self.folder}/data")
+        if begin is not None:
+            rows = rows.where((F.col("month") >= begin[:7]) & (F.col("ts") >= F.lit(begin).cast("timestamp_ntz")))
+        if end is not None:
+            rows = rows.where((F.col("month") <= end[:7]) & (F.col("ts") <= F.lit(end).cast("timestamp_ntz")))
+        return rows.join(latest, ["v", "symbol", "month"], "left_semi").select(*(n.split()[0] for n in names))
+
+    def touched(self, since: int, until: int) -> DataFrame:
+        """(symbol, month): what the versions after `since` up to `until` have written."""
+        return self._manifest().where((F.col("seq") > since) & (F.col("seq") <= until)).select("symbol", "month").distinct()
+
+    def changed_sessions(self, since: int, until: int | None = None) -> DataFrame:
+        """(symbol, session) of bars that were added, corrected or taken away between two versions. Only months that were written in between are read."""
+        until = self.seq() if until is None else until
+        months = self.touched(since, until)
+        prices = ["source", *B.PRICES, "volume"]
+        old, new = (self.read(n, months).select("symbol", "ts", F.struct(*prices).alias(name)) for n, name in ((since, "_o"), (until, "_n")))
+        both = old.join(new, (old["symbol"] == new["symbol"]) & (old["ts"] == new["ts"]) & (old["_o.source"] == new["_n.source"]), "full")
+        named = both.where(~F.col("_o").eqNullSafe(F.col("_n"))).select(F.coalesce(old["symbol"], new["symbol"]).alias("symbol"), F.coalesce(old["ts"], new["ts"]).alias("ts"))
+        return named.select("symbol", F.to_date(B.new_york()).alias("session")).distinct()
 
     def load(self, symbol: str, end_ts: str | None = None) -> DataFrame:
         rows = self.read().where(F.col("symbol") == symbol)
@@ -55,8 +84,7 @@ class BarStore:
         kept = old.select("*", month).join(touched, ["symbol", "month"], "left_semi").select(*old.columns)
         B.upsert(kept, new).select("*", month).repartition("symbol", "month").write.partitionBy("symbol", "month").parquet(f"{self.folder}/data/v={version}")
         B.ingestion_log(batch).write.mode("append").parquet(f"{self.folder}/ingestions")
-        seq = self._manifest().agg(F.max("seq")).first()[0] + 1 if self._exists(f"{self.folder}/manifest") else 0
-        touched.select(F.lit(seq).alias("seq"), F.lit(version).alias("v"), "symbol", "month").coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+        touched.select(F.lit(self.seq() + 1).alias("seq"), F.lit(version).alias("v"), "symbol", "month").coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
         return n
 
     def refresh(self, feed: DataFrame) -> int:
@@ -71,7 +99,7 @@ class BarStore:
 
 
 class EventLog:
-    """An append-only table of events with a rising seq. One writer is assumed."""
+    """An append-only table of events with a rising seq. Each append is a folder of its own, so several writers may append at once."""
 
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder, schema
@@ -79,10 +107,45 @@ class EventLog:
     def append(self, rows: list[tuple] | DataFrame) -> None:
         """Returns when the events are committed; what spends a test does this before it computes."""
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, self.schema)
-        df.write.mode("append").parquet(self.folder)
+        df.write.parquet(f"{self.folder}/append={uuid.uuid4().hex}")
 
     def read(self) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.folder)
+        rows = self.spark.read.schema(f"{self.schema}, append string").parquet(self.folder)
+        return rows.drop("append")
+
+
+class Claims:
+    """Names that can be taken once, by whoever comes first, in a folder that all writers share.
+
+    A claim is a file that is made only if it isn't there: in one step by the operating system where the folder is local, and by the file system where it
+    is not (HDFS does it in one step; of an object store, its driver has to be set to make files only where there are none).
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def take(self, name: str) -> bool:
+        """Whether the name is now ours. It stays taken, whatever becomes of us."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(path.getParent())
+        try:
+            if files.getUri().getScheme() == "file":
+                jvm.java.nio.file.Files.createFile(jvm.java.io.File(path.toUri().getPath()).toPath(), self.spark.sparkContext._gateway.new_array(jvm.java.nio.file.attribute.FileAttribute, 0))
+            else:
+                files.create(path, False).close()
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
+    def taken(self) -> list[str]:
+        """The names that are taken; they are few, one for each evaluation ever made."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
