@@ -38,7 +38,7 @@ COSINE = 0.93
 #: Probability with which the bands lose a pair at the threshold.
 MISS = 1.5e-7
 #: Bits of a band, at most.
-MOST_BITS = 15
+MOST_BITS = 30
 #: What a copy of a code costs to shuffle and lay out, in comparisons.
 COPY = 500
 #: Bits of a code, at least: as many rotations as it takes.
@@ -50,14 +50,27 @@ BLOCK = 2048
 LEVELS = 15  # 4 bits
 
 
+#: Bytes of rotations that a worker keeps, so that they aren't made again for each slice of vectors.
+KEPT_BYTES = 64 << 20
+_kept: dict[tuple[int, int, int], np.ndarray] = {}
+
+
 def rotations(dim: int, count: int, seed: int = 11) -> np.ndarray:
     """(count * dim, dim): random orthogonal matrices, one above the other; the same wherever they are made."""
+    key = (dim, count, seed)
+    if key in _kept:
+        return _kept[key]
     random = np.random.default_rng([seed, dim])
     made = []
     for _ in range(count):
         q, r = np.linalg.qr(random.standard_normal((dim, dim)))
         made.append((q * np.sign(np.diag(r))).T)
-    return np.concatenate(made)
+    out = np.concatenate(made)
+    if out.nbytes + sum(x.nbytes for x in _kept.values()) > KEPT_BYTES:
+        _kept.clear()
+    if out.nbytes <= KEPT_BYTES:
+        _kept[key] = out
+    return out
 
 
 def bands_for(bits: int, cosine: float, miss: float) -> int:
@@ -209,11 +222,11 @@ def links(vectors: DataFrame, cosine: float, miss: float, sigmas: float, block:
                     x = unit_rows(taken.column("v"), dim)
                     skip = turns(dim) * dim
                     signs = x @ rotations(dim, turns(dim) + -(-bands * bits // dim))[skip : skip + bands * bits].T > 0
-                    keys = (signs.reshape(len(rows), bands, bits) @ (1 << np.arange(bits))).astype(np.int16)
+                    keys = (signs.reshape(len(rows), bands, bits) @ (1 << np.arange(bits))).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                     yield pa.RecordBatch.from_arrays([*(taken.column(c) for c in ("node", "label", "dim", "n")), pa.array(Codes.of(x).stored(), pa.binary()), lists], names=["node", "label", "dim", "n", "code", "keys"])
 
-    coded = shared.cut(planned.mapInArrow(encode, f"node long, label {label}, dim int, n long, code binary, keys array<smallint>"))
+    coded = shared.cut(planned.mapInArrow(encode, f"node long, label {label}, dim int, n long, code binary, keys array<int>"))
     unit = ["label", "dim", "band", "key"]
     entries = coded.select("label", "dim", "node", "code", "keys", F.posexplode("keys").alias("band", "key"))
     dealt = shared.by_block(shared.blocks(entries, unit, "node", block), unit)
@@ -237,7 +250,7 @@ def links(vectors: DataFrame, cosine: float, miss: float, sigmas: float, block:
             if len(rows):
                 yield from table.select([*place, "chunk", "node"]).take(pa.array(rows)).to_batches()
 
-    kinds = f"label {label}, dim int, band int, key smallint, a int, b int, chunk int, node long"
+    kinds = f"label {label}, dim int, band int, key int, a int, b int, chunk int, node long"
     wanted = dealt.select(*place, "chunk", "node", "code", "keys").mapInArrow(estimate, kinds)
     # Only the ends of undecided pairs come back, with their vectors.
     fetched = wanted.join(vectors.select("node", "v", "n"), "node").join(coded.select("node", "code", "keys"), "node")

@@ -260,7 +260,8 @@ def archived_pages(spark: SparkSession, path: str, id_col: str = "page_id") -> D
         return F.nullif(F.regexp_extract(F.col(c), f"<{PAGE_ID}(.*)>", 1), F.lit("")).cast("long")
 
     responses = read(spark, path).where(F.col("warc_type") == "response")
-    found = responses.select(number("record_id").alias(id_col), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
+    # Both uses stand on what was read and digested once.
+    found = shared.cut(responses.select(number("record_id").alias(id_col), F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest")))
     revisits = read(spark, path, payload=False).where(F.col("warc_type") == "revisit").select(number("record_id").alias(id_col), number("refers_to").alias("refers_to"))
     of = found.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).withColumnRenamed(id_col, "refers_to")
     columns = [id_col, "payload_bytes", "payload_digest", "record_type", "refers_to"]

@@ -337,6 +337,15 @@ def test_no_link_of_a_large_group_near_the_threshold_is_lost(spark):
     assert want.sum() == 2 * 241_893 and got == dict(enumerate(want.tolist()))
 
 
+def test_work_of_a_vector_grows_slowly_with_its_label(spark):
+    """Of a thousand times as many vectors, each costs less than a hundred times the work, since bits grow with them."""
+    sizes = [10**6, 10**7, 10**8, 10**9]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", embed_dedup.plan(F.col("n"), embed_dedup.COSINE, embed_dedup.MISS).alias("p")).collect()
+    work = {r.n: r.p.work for r in got}
+    assert work[10**9] < 100 * work[10**6] and max(r.p.bits for r in got) > 15
+    assert all(abs((1 - (1 - np.arccos(embed_dedup.COSINE) / np.pi) ** r.p.bits) ** r.p.bands / embed_dedup.MISS - 1) < 1 or (1 - (1 - np.arccos(embed_dedup.COSINE) / np.pi) ** r.p.bits) ** r.p.bands <= embed_dedup.MISS for r in got)
+
+
 def test_estimates_are_unbiased_and_within_their_bounds():
     rng = np.random.default_rng(5)
     x = rng.standard_normal((2000, 64))
