@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from tapeforms.operators import bars as B
 from tapeforms.plans import catalog as C
+from tapeforms.plans import trading as T
 from tapeforms.sources import folders, shards
+from tapeforms.sources.store import FoldedLog
 from tapeforms.streaming import live
 
 SINCE = "2024-01-05 00:00:00"
@@ -37,3 +39,18 @@ def shard_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All bars of the shards, read as a stream."""
     rows = live.written(shards.stream(spark, sharded(spark, sf_dir)), f"{folders.shared_dir(spark)}/shard-stream-{uuid.uuid4().hex}")
     return C.shown(rows.select("symbol", "ts", *B.PRICES, "volume"))
+
+
+RUNS = "id long, seq long, config_hash string, started_at long, finished_at long, status string"
+
+
+@C.query("folded_runs", C.oracle_sql()["run_registry"])
+def folded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds of each run, from a snapshot and the appends after it; events come in five batches that are mixed in seq, three of them in snapshots."""
+    log = FoldedLog(spark, f"{folders.shared_dir(spark)}/runs-{uuid.uuid4().hex}", RUNS, "id")
+    events = T.run_events(spark, sf_dir)
+    for batch in range(5):
+        log.append(events.where(F.col("seq") % 5 == batch), "events", batch)
+        if batch in (1, 2):
+            log.fold()
+    return log.current().select("id", "config_hash", "started_at", "finished_at", "status")

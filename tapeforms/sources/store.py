@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tapeforms.operators import bars as B
 
@@ -104,10 +106,10 @@ class EventLog:
     def __init__(self, spark: SparkSession, folder: str, schema: str):
         self.spark, self.folder, self.schema = spark, folder, schema
 
-    def append(self, rows: list[tuple] | DataFrame) -> None:
-        """Returns when the events are committed; what spends a test does this before it computes."""
+    def append(self, rows: list[tuple] | DataFrame, name: str | None = None) -> None:
+        """Returns when the events are committed; what spends a test does this before it computes. An append of a name that there is replaces it."""
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, self.schema)
-        df.write.parquet(f"{self.folder}/append={uuid.uuid4().hex}")
+        df.write.mode("overwrite").parquet(f"{self.folder}/append={name or uuid.uuid4().hex}")
 
     def read(self) -> DataFrame:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -149,3 +151,133 @@ class Claims:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+
+
+class FoldedLog:
+    """A log of events with a rising seq of which the latest state of each key is wanted: a snapshot of one row per key, and the appends since then.
+
+    append() is told who writes and the number of the batch, so a batch that is run again changes nothing. fold() merges the appends into a new snapshot and then names it
+    in a manifest; a reader sees what one manifest says and the appends that it doesn't name, so what is read grows with the keys and with the appends of one period, not with the log's
+    age. Of each column the snapshot keeps the seq that it comes from, so an append that is late gives the same as in the log as a whole.
+    Any number may append and read while one folds; of two that fold at once, the second raises Busy and has changed nothing. What a fold has replaced is removed by the next one, so a
+    reader has that long.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, key: str, seq: str = "seq"):
+        self.spark, self.folder, self.schema, self.key, self.seq = spark, folder, schema, key, seq
+        self.kinds = {f.name: f.dataType.simpleString() for f in StructType.fromDDL(schema)}
+        self.values = [c for c in self.kinds if c not in (key, seq)]
+
+    def _path(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+
+    def _files(self):
+        return self._path("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, of: str) -> list[str]:
+        files, path = self._files(), self._path(of)
+        return sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+
+    def _manifest(self, number: int | None = None) -> dict:
+        """number, snapshot (None at first), held: the appends in it that may still be there; batches: by writer, the last batch in it."""
+        known = [n for n in self._names("manifests") if n.endswith(".json")]
+        name = known[-1] if number is None and known else f"{number:012d}.json" if number is not None else None
+        if name not in known:
+            return {"number": -1, "snapshot": None, "held": [], "batches": {}}
+        stream = self._files().open(self._path(f"manifests/{name}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _appends(self, held: list[str]) -> list[str]:
+        """Finished appends that the manifest doesn't hold."""
+        files = self._files()
+        return [n for n in self._names("appends") if n not in set(held) and files.exists(self._path(f"appends/{n}/_SUCCESS"))]
+
+    def has(self, writer: str, batch: int) -> bool:
+        """Whether the batch is in the snapshot, or was appended as a whole."""
+        return batch <= self._manifest()["batches"].get(writer, -1) or self._files().exists(self._path(f"appends/{writer}={batch:012d}/_SUCCESS"))
+
+    def append(self, rows: DataFrame, writer: str, batch: int) -> bool:
+        """Whether the batch is new to the snapshot; one that is written again replaces itself. A writer's batches rise, and it begins one when the one before is written."""
+        if batch <= self._manifest()["batches"].get(writer, -1):
+            return False
+        rows.select(*self.kinds).write.mode("overwrite").parquet(f"{self.folder}/appends/{writer}={batch:012d}")
+        return True
+
+    def _tail(self, appends: list[str]) -> DataFrame:
+        if not appends:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/appends/{n}" for n in appends))
+
+    def _folded(self, manifest: dict, appends: list[str]) -> DataFrame:
+        """(key, column, column_seq, ...): of each column the last value that isn't null, and its seq."""
+        pairs = self._tail(appends).select(self.key, *(x for c in self.values for x in (F.col(c), F.when(F.col(c).isNotNull(), F.col(self.seq)).alias(f"{c}_seq"))))
+        if manifest["snapshot"] is not None:
+            kinds = ", ".join([f"{self.key} {self.kinds[self.key]}", *(f"{c} {self.kinds[c]}, {c}_seq {self.kinds[self.seq]}" for c in self.values)])
+            pairs = pairs.unionByName(self.spark.read.schema(kinds).parquet(f"{self.folder}/snapshots/{manifest['snapshot']}"))
+        return pairs.groupBy(self.key).agg(*(x for c in self.values for x in (F.max_by(c, f"{c}_seq").alias(c), F.max(f"{c}_seq").alias(f"{c}_seq"))))
+
+    def current(self) -> DataFrame:
+        """What ledger.current gives of all events ever appended."""
+        manifest = self._manifest()
+        return self._folded(manifest, self._appends(manifest["held"])).select(self.key, *self.values)
+
+    def tail(self) -> list[str]:
+        """The appends that a reader has to read besides the snapshot."""
+        return self._appends(self._manifest()["held"])
+
+    def fold(self) -> int:
+        """Merges what is finished into a snapshot; the number of appends that it took. Raises Busy if another process folds."""
+        before = self._manifest()
+        number = before["number"] + 1
+        appends = self._appends(before["held"])
+        if not appends:
+            return 0
+        version = uuid.uuid4().hex
+        self._folded(before, appends).write.parquet(f"{self.folder}/snapshots/{version}")
+        batches = dict(before["batches"])
+        for name in appends:
+            writer, _, batch = name.rpartition("=")
+            batches[writer] = max(batches.get(writer, -1), int(batch))
+        held = sorted({*before["held"], *appends} & set(self._names("appends")))
+        self._publish({"number": number, "snapshot": version, "held": held, "batches": batches})
+        self._clear(before)
+        return len(appends)
+
+    def _publish(self, manifest: dict) -> None:
+        """Names the manifest in one step, which fails if there is one of this number: by a link where the folder is local, by a rename elsewhere."""
+        files, jvm = self._files(), self.spark._jvm
+        files.mkdirs(self._path("manifests"))
+        part, whole = self._path(f"manifests/{uuid.uuid4().hex}.part"), self._path(f"manifests/{manifest['number']:012d}.json")
+        out = files.create(part, True)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        if files.getUri().getScheme() != "file":
+            made = not files.exists(whole) and files.rename(part, whole)
+        else:
+            try:
+                jvm.java.nio.file.Files.createLink(*(jvm.java.io.File(p.toUri().getPath()).toPath() for p in (whole, part)))
+                made = True
+            except Py4JJavaError as e:
+                if "AlreadyExists" not in e.java_exception.getClass().getName():
+                    raise
+                made = False
+        files.delete(part, False)
+        if not made:
+            raise Busy(f"fold {manifest['number']} of {self.folder}")
+
+    def _clear(self, before: dict) -> None:
+        """Removes what no reader of the manifest `before` needs: the appends in its snapshot, the snapshot and the manifest that came before it."""
+        files = self._files()
+        for name in before["held"]:
+            files.delete(self._path(f"appends/{name}"), True)
+        older = self._manifest(max(before["number"] - 1, 0))
+        if before["number"] > 0 and older["snapshot"] is not None:
+            files.delete(self._path(f"snapshots/{older['snapshot']}"), True)
+            files.delete(self._path(f"manifests/{older['number']:012d}.json"), False)
+
+
+class Busy(RuntimeError):
+    """Another process is folding the log."""

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from tapeforms.operators import bars as B
 from tapeforms.operators import simulator
 from tapeforms.plans.settings import Settings
-from tapeforms.sources.store import BarStore, EventLog
+from tapeforms.sources import folders
+from tapeforms.sources.store import BarStore, EventLog, FoldedLog
 from tapeforms.streaming.signals import require_survivor
 
 
@@ -49,14 +51,15 @@ def drained(bars: DataFrame, name: str) -> DataFrame:
     return bars.sparkSession.table(name)
 
 
-def trade(bars: DataFrame, journal: EventLog, checkpoint: str, s: Settings, minutes: int, cash: float = simulator.CASH, every: str | None = None, verdicts: DataFrame | None = None, survivors_only: bool = True) -> StreamingQuery:
+def trade(bars: DataFrame, journal: EventLog, checkpoint: str, s: Settings, minutes: int, cash: float = simulator.CASH, every: str | None = None, verdicts: DataFrame | None = None, survivors_only: bool = True, state: FoldedLog | None = None, fold_every: int = 50) -> StreamingQuery:
     """The trading loop on a stream of closed bars (symbol, idx, ts, minute, open, close, direction).
 
     It trades survivors only: without a verdict (of ledger.verdicts()) that lets the configuration through it raises NotASurvivor.
 
     The journal, a log with the columns of simulator.REPLAY, is all the state there is: each batch goes on from the last row of
     every symbol there, so a loop that was killed and started again decides on each bar once, and a batch that is run
-    again adds nothing. `every`, such as "60 seconds", is the time between two looks at the stream; without it each batch follows the one before.
+    again adds nothing. With `state`, a log that last_rows() has made, each batch goes on from there instead: it reads a row per symbol and the appends since the last
+    fold, of which there is one after fold_every batches, however long the journal is. `every`, such as "60 seconds", is the time between two looks at the stream; without it each batch follows the one before.
     """
 
     if survivors_only:
@@ -68,5 +71,25 @@ def trade(bars: DataFrame, journal: EventLog, checkpoint: str, s: Settings, minu
         last = known.groupBy("symbol").agg(F.max_by(F.struct(*(c for c in names if c != "symbol")), "idx").alias("_r")).select("symbol", "_r.*")
         journal.append(simulator.replay(batch, batch, s, minutes, cash, last).select(*names))
 
-    writer = bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+    def write_on(batch: DataFrame, batch_id: int) -> None:
+        # The query's id: it outlives a restart, and a new checkpoint, where numbers of batches begin again, has another.
+        writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if state.has(writer, batch_id):
+            return
+        names = journal.read().columns
+        rows = folders.cut(simulator.replay(batch, batch, s, minutes, cash, state.current().select("symbol", "row.*")).select(*names))
+        # The journal first: if we are killed in between, this batch is decided again from the same state, and replaces its own rows.
+        journal.append(rows, f"{writer}-{batch_id}")
+        rest = F.struct(*(c for c in names if c != "symbol"))
+        state.append(rows.groupBy("symbol").agg(F.max("idx").alias("idx"), F.max_by(rest, "idx").alias("row")), writer, batch_id)
+        if batch_id % fold_every == fold_every - 1:
+            state.fold()
+
+    writer = bars.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write if state is None else write_on)
     return (writer.trigger(processingTime=every) if every else writer).start()
+
+
+def last_rows(spark: SparkSession, folder: str) -> FoldedLog:
+    """The last row of the journal of each symbol, as the state that trade() goes on from."""
+    fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in StructType.fromDDL(simulator.REPLAY) if f.name != "symbol")
+    return FoldedLog(spark, folder, f"symbol string, idx long, row struct<{fields}>", "symbol", "idx")
