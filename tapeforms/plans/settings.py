@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -51,6 +52,7 @@ class Settings:
     force_flat_minutes_before_close: int = 5
     seed: int = 42
     warehouse: str = "warehouse"
+    db_path: str = ""
     reports_dir: str = "reports"
     block_size: int = 1024
     candidate_chunk: int = 65536
@@ -95,19 +97,46 @@ def settings(values: dict[str, Any] | None = None, overrides: list[str] | None =
     return Settings(**out)
 
 
+def _plain(line: str) -> str:
+    """The line without its comment: a # at its start or behind a space, outside quotes."""
+    quote = ""
+    for i, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "'\"" and (i == 0 or line[i - 1] in " [,:-"):
+            quote = c
+        elif c == "#" and (i == 0 or line[i - 1].isspace()):
+            return line[:i]
+    return line
+
+
+def _items(text: str) -> list[str]:
+    """The items of a text that commas separate outside quotes, unquoted."""
+    return [x.strip().strip("'\"") for x in re.findall(r"""\s*("[^"]*"|'[^']*'|[^,]+)""", text) if x.strip()]
+
+
 def from_yaml(path: str, overrides: list[str] | None = None) -> Settings:
-    """Settings from a file of plain "name: value" lines and "- item" lists; comments and blank lines are left out."""
+    """Settings from a file of "name: value" lines, "- item" lists and [lists] over any number of lines; comments and blank lines are left out. Nested mappings are an error."""
     values: dict[str, Any] = {}
-    key = None
+    key, listed = None, ""
     with open(path, encoding="utf-8") as lines:
         for raw in lines:
-            line = raw.split("#")[0].rstrip()
-            if not line.strip():
+            line = _plain(raw.rstrip("\n")).rstrip()
+            if listed:
+                listed += " " + line.strip()
+            elif not line.strip() or line == "---":
                 continue
-            if line.lstrip().startswith("- ") and key:
-                values[key] = [*(values[key] or []), line.lstrip()[2:].strip().strip("'\"")]
+            elif line.lstrip().startswith("- ") and key:
+                values[key] = [*(values[key] or []), *_items(line.lstrip()[2:])]
                 continue
-            key, _, value = (x.strip() for x in line.partition(":"))
-            value = value.strip("'\"")
-            values[key] = [x.strip().strip("'\"") for x in value[1:-1].split(",")] if value.startswith("[") else value or None
+            elif line[0].isspace():
+                raise ValueError(f"{path}: {line.strip()!r} is nested")
+            else:
+                key, _, value = (x.strip() for x in line.partition(":"))
+                values[key] = value.strip("'\"") or None
+                listed = value if value.startswith("[") else ""
+            if listed.endswith("]"):
+                values[key], listed = _items(listed[1:-1]), ""
+    if listed:
+        raise ValueError(f"{path}: the list of {key} doesn't end")
     return settings({k: v for k, v in values.items() if v is not None}, overrides)

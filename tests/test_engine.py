@@ -183,3 +183,11 @@ def test_settings(tmp_path):
     (tmp_path / "c.yaml").write_text("window: 20  # bars\nsymbols:\n  - qqq\ncandle_patterns: [hammer, shooting_star]\n")
     b = from_yaml(str(tmp_path / "c.yaml"), ["horizon=4"])
     assert (b.window, b.symbols, b.candle_patterns, b.horizon) == (20, ("QQQ",), ("hammer", "shooting_star"), 4)
+    (tmp_path / "d.yaml").write_text("# all\nsymbols: [qqq]   # one\ntemplate_patterns: [double_bottom, 'triple_bottom',  # two\n                    cup_with_handle]\nsplit_date: \"2022-12-31\"\nreports_dir: 'a # b'\ndb_path: db/bars.db\nfeatures:\n")
+    c = from_yaml(str(tmp_path / "d.yaml"))
+    assert (c.template_patterns, c.split_date, c.reports_dir, c.db_path, c.features) == (("double_bottom", "triple_bottom", "cup_with_handle"), "2022-12-31", "a # b", "db/bars.db", "close")
+    assert c.hash == settings({"symbols": "QQQ"}).hash
+    for text in ("symbols:\n  first: x\n", "symbols: [a,\n b\n"):
+        (tmp_path / "e.yaml").write_text(text)
+        with pytest.raises(ValueError, match="nested|end"):
+            from_yaml(str(tmp_path / "e.yaml"))
