@@ -10,7 +10,7 @@ from tapeforms.functions import metrics
 from tapeforms.operators import asof, ledger
 
 # How a broker's order states map to ours; any other state is open.
-STATES = {"filled": "filled", "rejected": "rejected", "canceled": "rejected", "expired": "rejected"}
+STATES = {"filled": "filled", "rejected": "rejected", "canceled": "rejected", "cancelled": "rejected", "expired": "rejected", "done_for_day": "rejected", "suspended": "rejected"}
 
 
 def order_state(state: Column) -> Column:

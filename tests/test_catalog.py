@@ -8,7 +8,7 @@ import os
 
 import pytest
 
-from tapeforms.plans import catalog, search, stores, streams, trading  # noqa: F401
+from tapeforms.plans import brokerage, catalog, search, stores, streams, trading  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")

@@ -8,7 +8,7 @@ from conftest import BARS, minute_bars
 from pyspark.sql import functions as F
 
 from tapeforms.operators import bars as B
-from tapeforms.operators import journal, simulator
+from tapeforms.operators import broker, journal, simulator
 from tapeforms.plans.research import Study, match
 from tapeforms.plans.settings import settings
 from tapeforms.sources.store import EventLog
@@ -129,3 +129,17 @@ def test_match_looks_at_one_window_only(spark, indexed):
     assert [r.kept_rank for r in top] == [1, 2, 3] and [r.dist for r in top] == sorted(r.dist for r in top)
     none = match(indexed.select("symbol", "ts", *B.PRICES, "volume"), s, "2024-01-08 14:36:00").figures.collect()
     assert all(r.n == 0 for r in none)
+
+
+def test_what_a_broker_tells_and_what_never_reaches_it(spark):
+    none = (None,) * 4
+    told = spark.createDataFrame([("a", "T", "3", "BUY", "Filled", "1.5", "3"), ("b", "T", "", "sell", "done_for_day", *none[:2]), ("c", None, "x", None, None, *none[:2])], "id string, symbol string, qty string, side string, status string, filled_avg_price string, filled_qty string")
+    got = broker.orders(told.withColumns({"submitted_at": F.lit(None), "filled_at": F.lit(None)})).orderBy("id").collect()
+    assert [(r.qty, r.side, r.status, r.fill_price, r.filled_qty) for r in got] == [(3.0, "buy", "filled", 1.5, 3.0), (None, "sell", "rejected", None, None), (None, "buy", "open", None, None)]
+    at = "timestamp_ntz'2024-01-08 {}:00:00'".format
+    held = broker.positions(spark.sql(f"select * from values ('T', {at(10)}, '5', '2'), ('T', {at(12)}, '-5', '2'), ('U', {at(10)}, null, null) as t(symbol, ts, qty, avg_entry_price)"))
+    assert sorted((r.symbol, r.qty, r.avg_entry) for r in held.collect() if r.qty > 0) == [("T", 5.0, 2.0)]
+    wanted = spark.sql(f"select * from values (1, 'T', {at(11)}, 'sell', 5d), (2, 'T', {at(11)}, 'SELL', 6d), (3, 'T', {at(13)}, 'sell', 1d), (4, 'T', {at('09')}, 'sell', 1d), (5, 'U', {at(11)}, 'buy', 9d), (6, 'U', {at(11)}, 'buy', 0d), (7, null, {at(11)}, 'buy', null), (8, null, {at(11)}, 'sell', 1d) as t(order_id, symbol, ts, side, qty)")
+    out = {r.order_id: (r.held, r.reason, r.status) for r in broker.screened(wanted, held).collect()}
+    assert out == {1: (5.0, None, "submitted"), 2: (5.0, "no_shorting", "rejected"), 3: (0.0, "no_shorting", "rejected"), 4: (0.0, "no_shorting", "rejected"), 5: (0.0, None, "submitted"), 6: (0.0, "no_quantity", "rejected"), 7: (0.0, "no_quantity", "rejected"), 8: (0.0, "no_shorting", "rejected")}
+    assert broker.screened(wanted.limit(0), held).isEmpty() and broker.screened(wanted, held.limit(0)).count() == 8
