@@ -247,7 +247,8 @@ class FoldedLog:
         return len(appends)
 
     def _publish(self, manifest: dict) -> None:
-        """Names the manifest in one step, which fails if there is one of this number: by a link where the folder is local, by a rename elsewhere."""
+        """Names the manifest in one step, which fails if there is one of this number: by a link where the folder is local, by a rename elsewhere.
+        An object store renames in several steps; there one process alone may fold."""
         files, jvm = self._files(), self.spark._jvm
         files.mkdirs(self._path("manifests"))
         part, whole = self._path(f"manifests/{uuid.uuid4().hex}.part"), self._path(f"manifests/{manifest['number']:012d}.json")
