@@ -18,6 +18,7 @@ from tapeforms.plans import research
 from tapeforms.plans.settings import Settings, from_yaml, settings
 from tapeforms.sources import shards
 from tapeforms.sources.store import BarStore
+from tapeforms.streaming import shapes
 from tapeforms.streaming import signals as S
 
 
@@ -117,14 +118,32 @@ def tried(d: Desk, a: argparse.Namespace) -> list[str]:
 def trade(d: Desk, a: argparse.Namespace) -> list[str]:
     """Decides on the bars of the shards as they come; until it is stopped with --follow, else on what is there. A bar that is corrected later is not decided again."""
     stream = shards.stream(d.spark, d.shards(), d.symbol).withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", "1 day").dropDuplicatesWithinWatermark(["symbol", "ts"]).drop("t")
+    trigger = {"processingTime": f"{a.poll} seconds"} if a.follow else {"availableNow": True}
+    poll = a.poll if a.follow else None
+    queries = []
     try:
-        rows = S.traded(stream, d.s, d.minutes, d.logs().verdicts(), poll=a.poll if a.follow else None)
+        if d.s.signal_source == "knn_shape":
+            S.require_survivor(d.logs().verdicts(), d.s)
+            folder = f"{d.s.warehouse}/signals-{d.s.hash}"
+            queries.append(shapes.start(stream, d.s, folder, **trigger))
+            if not a.follow:
+                queries[0].awaitTermination()
+            rows = shapes.decided(d.spark, folder, d.s, d.minutes, poll=poll)
+        else:
+            rows = S.traded(stream, d.s, d.minutes, d.logs().verdicts(), poll=poll)
     except (S.NotASurvivor, ValueError) as e:
         raise Refused(str(e)) from e
     with S.rocks(d.spark):
-        writer = rows.writeStream.outputMode("append").format("parquet").option("path", d.journal_path).option("checkpointLocation", f"{d.s.warehouse}/checkpoint-{d.s.hash}")
-        query = (writer.trigger(processingTime=f"{a.poll} seconds") if a.follow else writer.trigger(availableNow=True)).start()
-    query.awaitTermination()
+        queries.append(rows.writeStream.outputMode("append").format("parquet").option("path", d.journal_path).option("checkpointLocation", f"{d.s.warehouse}/checkpoint-{d.s.hash}").trigger(**trigger).start())
+    try:
+        while all(q.isActive for q in queries):
+            queries[-1].awaitTermination(1)
+    finally:
+        for q in queries:
+            if a.follow:
+                q.stop()
+    for q in queries:
+        q.awaitTermination()  # raises what ended it
     return status(d, a)
 
 

@@ -17,6 +17,8 @@ DIGITS = 9
 TIE = 10.0**-DIGITS
 #: Error of a square by matrix product, as a part of the squares of the two; and pairs that are computed by component at once.
 PRODUCT, PAIRS = 1e-12, 100_000
+#: Queries that are few enough to be sent to every candidate.
+FEW = 2048
 
 
 def eligible(window: int, horizon: int, q_end: str = "q_end") -> Column:
@@ -40,7 +42,10 @@ def distances(all_windows: DataFrame, queries: DataFrame, window: int, horizon:
     out by component, which keeps it in generated code.
     """
     q, c = _blocked(all_windows, queries, block)
-    pairs = q.join(c, ["symbol", "qb"]).where(eligible(window, horizon))
+    return _with_distances(q.join(c, ["symbol", "qb"]).where(eligible(window, horizon)), width)
+
+
+def _with_distances(pairs: DataFrame, width: int) -> DataFrame:
     squares = [(F.col("qz")[i] - F.col("z")[i]) * (F.col("qz")[i] - F.col("z")[i]) for i in range(width)]
     total = squares[0]
     for s in squares[1:]:
@@ -175,6 +180,14 @@ def nearest_by_blocks(all_windows: DataFrame, queries: DataFrame, window: int, h
     return laid.mapInArrow(run, "symbol string, q_end long, end_idx long, end_ts timestamp_ntz, fwd_ret double, dist double, rank int")
 
 
+def nearest_of_few(all_windows: DataFrame, queries: DataFrame, window: int, horizon: int, k: int, width: int) -> DataFrame:
+    """nearest(distances()) of at most FEW queries, as the caller has counted, whatever the number of candidates: these stay where they are, every task keeps its best
+    for each query, and only those are shuffled. So one query is the work of all tasks."""
+    c = all_windows.where("valid and fwd_ret is not null").select("symbol", "end_idx", "end_ts", "z", "fwd_ret", "valid")
+    pairs = c.join(F.broadcast(queries.select("symbol", "q_end", "qz")), "symbol").where(eligible(window, horizon))
+    return nearest(_with_distances(pairs, width), k)
+
+
 def without_overlaps(ranked: DataFrame, k: int, gap: int) -> DataFrame:
     """Of each query's ranked neighbours, best first, those more than `gap` bars from all kept before, at most k: (…, kept_rank)."""
     item = F.struct("rank", "end_idx", "end_ts", "dist", "fwd_ret")
@@ -208,3 +221,10 @@ def unconditional(all_windows: DataFrame, window: int, horizon: int) -> DataFram
     own = all_windows.select("symbol", "session", F.col("end_idx").alias("q_end"), F.count(use).over(frame).alias("_n"), F.coalesce(F.sum(use).over(frame), F.lit(0.0)).alias("_s"))
     n, s = F.col("_n0") + F.col("_n"), F.col("_s0") + F.col("_s")
     return own.join(before, ["symbol", "session"]).select("symbol", "q_end", n.alias("n_candidates"), F.when(n > 0, s / n).alias("uncond_mean"))
+
+
+def unconditional_of_few(all_windows: DataFrame, queries: DataFrame, window: int, horizon: int) -> DataFrame:
+    """unconditional() of at most FEW queries (symbol, q_end), as the caller has counted, from (symbol, end_idx, valid, fwd_ret): added up before the shuffle."""
+    few = F.broadcast(queries.select("symbol", "q_end"))
+    met = all_windows.select("symbol", "end_idx", "valid", "fwd_ret").join(few, "symbol").where(eligible(window, horizon))
+    return met.groupBy("symbol", "q_end").agg(F.count(F.lit(1)).alias("n_candidates"), F.avg("fwd_ret").alias("uncond_mean"))

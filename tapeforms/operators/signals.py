@@ -40,6 +40,22 @@ def _with_window(indexed: DataFrame, s: Settings, per_window: DataFrame) -> Data
     return windows.current_window(indexed, s.window).join(per_window, ["symbol", "q_end"], "left")
 
 
+KNN_FIGURES = ["q_end", "n", "mean", "median", "pct_positive", "n_candidates", "uncond_mean", "threshold"]
+
+
+def knn_verdict(out: DataFrame, s: Settings) -> DataFrame:
+    """Bars with what followed the shapes like their current window's (valid null: no window yet), and the direction and reason that follow."""
+    few = F.coalesce(F.col("n"), F.lit(0)) < s.min_matches
+    threshold = F.round(s.t_multiplier * F.col("uncond_mean"), 12)
+    long = (F.col("pct_positive") >= s.p_threshold) & (F.round("mean", 12) >= threshold)
+    short = F.lit(s.enable_shorts) & (1 - F.col("pct_positive") >= s.p_threshold) & (F.round("mean", 12) <= -threshold)
+    direction = F.when(F.col("valid").isNull() | ~F.col("valid") | few, "NO_TRADE").when(long, "LONG").when(short, "SHORT").otherwise("NO_TRADE")
+    reason = F.when(F.col("valid").isNull(), "no_window").when(~F.col("valid"), "degenerate_window").when(few, "too_few_matches").otherwise("rule")
+    judged = out.withColumns({"direction": direction, "reason": reason, "_threshold": threshold})
+    shown = F.col("reason") == "rule"
+    return judged.withColumns({"n": F.when(F.col("valid"), F.coalesce(F.col("n"), F.lit(0))), "threshold": F.when(shown, F.col("_threshold")), "n_candidates": F.when(shown, F.col("n_candidates")), "uncond_mean": F.when(shown, F.col("uncond_mean"))}).drop("_threshold")
+
+
 @register("knn_shape")
 def knn_shape(indexed: DataFrame, s: Settings) -> DataFrame:
     """LONG or SHORT where enough of the nearest past shapes went one way and by enough; with the figures of the match."""
@@ -48,15 +64,7 @@ def knn_shape(indexed: DataFrame, s: Settings) -> DataFrame:
     near = neighbours.nearest_by_blocks(w, queries, s.window, s.horizon, s.k)
     stats = neighbours.match_stats(neighbours.without_overlaps(near, s.k, s.dedup_gap))
     per = w.select("symbol", F.col("end_idx").alias("q_end"), "valid").join(neighbours.unconditional(w, s.window, s.horizon), ["symbol", "q_end"]).join(stats, ["symbol", "q_end"], "left")
-    few = F.coalesce(F.col("n"), F.lit(0)) < s.min_matches
-    threshold = F.round(s.t_multiplier * F.col("uncond_mean"), 12)
-    long = (F.col("pct_positive") >= s.p_threshold) & (F.round("mean", 12) >= threshold)
-    short = F.lit(s.enable_shorts) & (1 - F.col("pct_positive") >= s.p_threshold) & (F.round("mean", 12) <= -threshold)
-    direction = F.when(F.col("valid").isNull() | ~F.col("valid") | few, "NO_TRADE").when(long, "LONG").when(short, "SHORT").otherwise("NO_TRADE")
-    reason = F.when(F.col("valid").isNull(), "no_window").when(~F.col("valid"), "degenerate_window").when(few, "too_few_matches").otherwise("rule")
-    out = _with_window(indexed, s, per).withColumns({"direction": direction, "reason": reason})
-    shown = F.col("reason") == "rule"
-    return out.select(*COLUMNS, "q_end", F.when(F.col("valid"), F.coalesce(F.col("n"), F.lit(0))).alias("n"), "mean", "median", "pct_positive", F.when(shown, F.col("n_candidates")).alias("n_candidates"), F.when(shown, F.col("uncond_mean")).alias("uncond_mean"), F.when(shown, threshold).alias("threshold"))
+    return knn_verdict(_with_window(indexed, s, per), s).select(*COLUMNS, *KNN_FIGURES)
 
 
 def template_table(indexed: DataFrame, s: Settings) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tapeforms.plans import catalog as C
 from tapeforms.plans import trading as T
 from tapeforms.sources import folders
-from tapeforms.streaming import live, signals
+from tapeforms.streaming import live, shapes, signals
 
 #: The last bar stays open for want of a later tick.
 CLOSED = f"ts < (SELECT time_bucket(INTERVAL '{C.MINUTES} minutes', max(ts)) FROM events WHERE value > 0)"
@@ -41,3 +41,11 @@ def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From ticks to the decisions of the trading loop in one stream: closed bars, candle signals, the account by symbol."""
     rows = written(signals.decisions(signals.stream_signals(closed(spark, sf_dir), T.LIVE), T.LIVE, C.MINUTES, C.CASH), "decisions")
     return C.shown(rows.select("symbol", "idx", "ts", "outcome", "held", "cash", "equity", "order_side", "order_qty", "entry_idx"))
+
+
+@C.query("stream_knn_signals", f"""WITH {C.KNN_SQL} SELECT {C.SIGNAL_COLUMNS}, q_end, n, {', '.join(C.num(c, c) for c in ('mean', 'median', 'pct_positive', 'uncond_mean', 'threshold'))}, n_candidates FROM knn WHERE {CLOSED}""")
+def stream_knn_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k-NN signals of the bars that a stream over events has closed, from the log of windows that it keeps."""
+    folder = f"{folders.shared_dir(spark)}/knn-{uuid.uuid4().hex}"
+    shapes.start(closed(spark, sf_dir), C.KNN, folder, availableNow=True).awaitTermination()
+    return C.shown(shapes.given(spark, folder).drop("minute", "open", "close"))

@@ -119,6 +119,62 @@ class EventLog:
         return rows.drop("append")
 
 
+class BatchLog:
+    """The rows that each batch of one stream gives, in a folder of its own; that stream alone writes. A batch that is run again replaces its rows.
+
+    After every `merge_every` batches (None: never) their folders become one, so that the number of files grows a good deal slower than that of the batches. A reader sees a merged folder only
+    when it is whole, and from then on not the folders that went into it, which are removed by the next merge.
+    """
+
+    FILE_BYTES = 128 << 20  # of a file of a merged folder, about
+
+    def __init__(self, spark: SparkSession, folder: str, schema: str, merge_every: int | None = 64):
+        self.spark, self.folder, self.schema, self.merge_every = spark, folder, schema, merge_every
+
+    def _bytes(self, names: list[str]) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sum(files.getContentSummary(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}")).getLength() for n in names)
+
+    def _parts(self) -> list[tuple[int, int, str]]:
+        """(first batch, last batch, name) of the whole folders, those that lie within another left out."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = sorted(f.getPath().getName() for f in files.listStatus(path)) if files.exists(path) else []
+        whole = [n for n in names if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{n}/_SUCCESS"))]
+        spans = [(*map(int, n.split("-")), n) for n in whole]
+        merged = [(a, b) for a, b, _ in spans if a < b]
+        return [(a, b, n) for a, b, n in spans if not any(x <= a and b <= y and (x, y) != (a, b) for x, y in merged)]
+
+    def append(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{batch:012d}-{batch:012d}")
+        single = [p for p in self._parts() if p[0] == p[1] and p[0] < batch]  # not the batch itself, which may be run again
+        if self.merge_every is not None and len(single) >= self.merge_every:
+            merged = [n for _, _, n in single]
+            self._read(merged).coalesce(1 + self._bytes(merged) // self.FILE_BYTES).write.mode("overwrite").parquet(f"{self.folder}/{single[0][0]:012d}-{single[-1][1]:012d}")
+            self._clear(single[0][0])
+
+    def _clear(self, before: int) -> None:
+        """Removes single batches before that one, which an earlier merge holds."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        held = {n for _, _, n in self._parts()}
+        for f in files.listStatus(path):
+            name = f.getPath().getName()
+            first, last = map(int, name.split("-"))
+            if first == last < before and name not in held:
+                files.delete(f.getPath(), True)
+
+    def _read(self, names: list[str]) -> DataFrame:
+        if not names:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.folder}/{n}" for n in names))
+
+    def read(self, batch: int | None = None) -> DataFrame:
+        """All rows, or those of one batch that was appended last."""
+        return self._read([n for _, _, n in self._parts()] if batch is None else [f"{batch:012d}-{batch:012d}"])
+
+
 class Claims:
     """Names that can be taken once, by whoever comes first, in a folder that all writers share.
 
