@@ -15,9 +15,25 @@ from tapeforms.operators import bars as B
 BARS = "symbol string, ts timestamp_ntz, source string, open double, high double, low double, close double, volume double, ingested_at timestamp_ntz"
 
 
+def made_once(spark: SparkSession, part, whole) -> bool:
+    """Gives a finished file the name `whole` in one step (Hadoop paths); False, and nothing done, if there is one: by a link where the folder is local, by a rename elsewhere.
+    An object store renames in several steps; there one process alone may write."""
+    files, jvm = part.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm
+    if files.getUri().getScheme() != "file":
+        return not files.exists(whole) and files.rename(part, whole)
+    try:
+        jvm.java.nio.file.Files.createLink(*(jvm.java.io.File(p.toUri().getPath()).toPath() for p in (whole, part)))
+    except Py4JJavaError as e:
+        if "AlreadyExists" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    return True
+
+
 class BarStore:
     """Bars below a folder, by symbol and month. An upsert writes only the months that it touches, each whole, and then names them in a
-    manifest, so readers see either what was or what is. One writer is assumed."""
+    manifest, so readers see either what was or what is. A version is named by a file that only one of several writers can make: who comes second names the next one if
+    the versions in between left its months alone, else it merges its bars into what these made of them."""
 
     MANIFEST = "seq long, v string, symbol string, month string"
 
@@ -33,14 +49,14 @@ class BarStore:
 
     def seq(self) -> int:
         """The number of the latest version; -1 of an empty store."""
-        return self._manifest().agg(F.max("seq")).first()[0] if self._exists(f"{self.folder}/manifest") else -1
+        return self._manifest().agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0] if self._exists(f"{self.folder}/manifest") else -1
 
     def read(self, at: int | None = None, months: DataFrame | None = None, begin: str | None = None, end: str | None = None) -> DataFrame:
         """All bars; version, symbol and month are partitions, so files that the manifest has replaced are pruned, and a filter on symbol or ts reaches the rest.
 
         at: as they were after that version. months (symbol, month): only these. begin, end: only bars from and until these times, of whose months alone files are read.
         """
-        if not self._exists(f"{self.folder}/manifest"):
+        if not (self._exists(f"{self.folder}/manifest") and self._exists(f"{self.folder}/data")):
             return self.spark.createDataFrame([], BARS)
         names = BARS.split(", ")
         stored = ", ".join([*(n for n in names if not n.startswith("symbol ")), "v string", "symbol string", "month string"])
@@ -79,15 +95,35 @@ class BarStore:
         if not n:
             return 0
         month = F.date_format("ts", "yyyy-MM").alias("month")
-        old = self.read()
-        new = batch.select(*old.columns)
+        new = batch.select(*(c.split()[0] for c in BARS.split(", ")))
         touched = new.select("symbol", month).distinct()
-        version = uuid.uuid4().hex
-        kept = old.select("*", month).join(touched, ["symbol", "month"], "left_semi").select(*old.columns)
-        B.upsert(kept, new).select("*", month).repartition("symbol", "month").write.partitionBy("symbol", "month").parquet(f"{self.folder}/data/v={version}")
-        B.ingestion_log(batch).write.mode("append").parquet(f"{self.folder}/ingestions")
-        touched.select(F.lit(self.seq() + 1).alias("seq"), F.lit(version).alias("v"), "symbol", "month").coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
-        return n
+        B.ingestion_log(batch).write.parquet(f"{self.folder}/ingestions/append={uuid.uuid4().hex}")  # a folder for each, since writers in one would clear each other's
+        base, version = self.seq(), None
+        while True:
+            if version is None:
+                version = uuid.uuid4().hex
+                kept = self.read(base).select("*", month).join(touched, ["symbol", "month"], "left_semi").select(*new.columns)
+                B.upsert(kept, new).select("*", month).repartition("symbol", "month").write.partitionBy("symbol", "month").parquet(f"{self.folder}/data/v={version}")
+            if self._name(base + 1, version, touched):
+                return n
+            now = self.seq()
+            if not self.touched(base, now).join(touched, ["symbol", "month"], "left_semi").isEmpty():
+                hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/data/v={version}")  # ours, and in no manifest
+                hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+                version = None
+            base = now
+
+    def _name(self, seq: int, version: str, touched: DataFrame) -> bool:
+        """Whether the version is now that of seq; if not, another writer's is."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        staged, manifest = f"{self.folder}/staged/{uuid.uuid4().hex}", f"{self.folder}/manifest"
+        touched.select(F.lit(seq).cast("long").alias("seq"), F.lit(version).alias("v"), "symbol", "month").coalesce(1).write.json(staged)
+        files = path(manifest).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        files.mkdirs(path(manifest))
+        part = next(f.getPath() for f in files.listStatus(path(staged)) if f.getPath().getName().startswith("part-"))
+        made = made_once(self.spark, part, path(f"{manifest}/{seq:012d}.json"))
+        files.delete(path(staged), True)
+        return made
 
     def refresh(self, feed: DataFrame) -> int:
         """Takes from a feed, with source and ingested_at, what is new since a day before the last bar, in regular hours."""
@@ -305,22 +341,13 @@ class FoldedLog:
     def _publish(self, manifest: dict) -> None:
         """Names the manifest in one step, which fails if there is one of this number: by a link where the folder is local, by a rename elsewhere.
         An object store renames in several steps; there one process alone may fold."""
-        files, jvm = self._files(), self.spark._jvm
+        files = self._files()
         files.mkdirs(self._path("manifests"))
         part, whole = self._path(f"manifests/{uuid.uuid4().hex}.part"), self._path(f"manifests/{manifest['number']:012d}.json")
         out = files.create(part, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        if files.getUri().getScheme() != "file":
-            made = not files.exists(whole) and files.rename(part, whole)
-        else:
-            try:
-                jvm.java.nio.file.Files.createLink(*(jvm.java.io.File(p.toUri().getPath()).toPath() for p in (whole, part)))
-                made = True
-            except Py4JJavaError as e:
-                if "AlreadyExists" not in e.java_exception.getClass().getName():
-                    raise
-                made = False
+        made = made_once(self.spark, part, whole)
         files.delete(part, False)
         if not made:
             raise Busy(f"fold {manifest['number']} of {self.folder}")

@@ -54,3 +54,15 @@ def test_from_shards_to_a_weekly_report(spark, tmp_path, capsys, monkeypatch):
     code, said = ran("report", "weekly", "--days", "30")
     assert code == 0 and "# Weekly report" in said and len(list((tmp_path / "reports").iterdir())) == 1
     assert ran("config", "--set", "nothing=1")[0] == 1
+
+
+def test_knn_signals_are_traded(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "config.yaml").write_text(CONFIG.replace("signal_source: candles", "signal_source: knn_shape") + f"k: 3\ndedup_gap: 1\nmin_matches: 2\nt_multiplier: 0.5\nwarehouse: {tmp_path}/w\ndb_path: {tmp_path}/db\n")
+    bars = spark.createDataFrame([(r[0], r[1] + dt.timedelta(minutes=350), *r[2:]) for r in minute_bars(3, 30)], BARS)
+    shards.write(bars.withColumns({"source": F.lit("t"), "ingested_at": F.col("ts")}), f"file://{tmp_path}/db")
+    assert cli.main(["trade"], spark) == 1 and "has passed no evaluation" in capsys.readouterr().err
+    desk = cli.Desk(spark, cli.from_yaml("config.yaml"))
+    desk.logs().evaluations.append([(1, desk.s.hash, 1, "SURVIVED", None)])
+    assert cli.main(["trade"], spark) == 0
+    assert "T at 2024-01-10" in capsys.readouterr().out and {"entry", "no_trade"} <= {r.outcome.split(":")[0] for r in desk.journal().collect()} and desk.journal().count() == 90

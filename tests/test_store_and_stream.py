@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from conftest import BARS, minute_bars
 
 from pyspark.sql import functions as F
@@ -27,6 +29,25 @@ def test_upsert_is_idempotent_and_replaces(spark, tmp_path):
     assert store.coverage().first().n_sessions == 2
 
 
+def test_several_writers_lose_no_bar(spark, tmp_path):
+    folder = str(tmp_path / "bars")
+    rows = minute_bars(4, 12)
+    other = [("U", r[1].replace(month=3), *r[2:]) for r in rows]
+    parts = [rows[i::3] for i in range(3)] + [other]
+
+    def write(i):
+        return BarStore(spark, folder).upsert(batch(spark, parts[i], f"2024-02-0{i + 1} 00:00:00"))
+
+    with ThreadPoolExecutor(4) as pool:  # three meet in a month, the fourth has one of its own
+        assert sorted(pool.map(write, range(4))) == [16, 16, 16, 48]
+    store = BarStore(spark, folder)
+    assert store.seq() == 3 and sorted(r[0] for r in spark.read.schema(store.MANIFEST).json(f"{folder}/manifest").select("seq").collect()) == [0, 1, 2, 3]
+    assert sorted((r.symbol, r.ts, r.close) for r in store.read().collect()) == sorted((r[0], r[1], r[5]) for r in rows + other)
+    named = {r[0] for r in spark.read.schema(store.MANIFEST).json(f"{folder}/manifest").select("v").collect()}
+    assert {p.name for p in (tmp_path / "bars" / "data").iterdir() if p.name.startswith("v=")} == {f"v={v}" for v in named}
+    assert not list((tmp_path / "bars" / "staged").iterdir())
+
+
 def test_refresh_takes_the_last_day_again(spark, tmp_path):
     store = BarStore(spark, str(tmp_path / "bars"))
     rows = minute_bars(4, 10)
