@@ -80,7 +80,9 @@ def start(bars: DataFrame, s: Settings, folder: str, merge_every: int = 64, **tr
 
     def write(batch: DataFrame, batch_id: int) -> None:
         shapes.append(batch, batch_id)
-        given.append(answered(shapes.read(batch_id), shapes.read(), s).repartition("symbol"), batch_id)
+        rows = shapes.read(batch_id)
+        if not rows.isEmpty():  # batches that only move the watermark close no bar
+            given.append(answered(rows, shapes.read(), s).repartition("symbol"), batch_id)
 
     with rocks(bars.sparkSession):
         writer = shaped(bars, s).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write)
