@@ -185,7 +185,7 @@ class BatchLog:
     def append(self, rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/{batch:012d}-{batch:012d}")
         single = [p for p in self._parts() if p[0] == p[1] and p[0] < batch]  # not the batch itself, which may be run again
-        if self.merge_every is not None and len(single) >= self.merge_every:
+        if self.merge_every is not None and len(single) >= max(2, self.merge_every):  # one alone would be merged into itself
             merged = [n for _, _, n in single]
             self._read(merged).coalesce(1 + self._bytes(merged) // self.FILE_BYTES).write.mode("overwrite").parquet(f"{self.folder}/{single[0][0]:012d}-{single[-1][1]:012d}")
             self._clear(single[0][0])
