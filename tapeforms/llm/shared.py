@@ -154,16 +154,20 @@ class WordIds:
         return self.flat[np.repeat(starts[place] - begins[:-1], n) + np.arange(begins[-1])], begins[first]
 
 
-def blocks(rows: DataFrame, keys: list[str], node: str, size: int) -> DataFrame:
+def blocks(rows: DataFrame, keys: list[str], node: str, size: int, count: str | None = None) -> DataFrame:
     """Rows of buckets (equal keys), ready for tasks that compare a bucket's rows with one another, with columns chunk, a and b.
 
     A bucket of up to `size` rows is one block (a = b = 0). A larger one is dealt into chunks by a hash of `node`,
     and each pair of chunks a <= b is a block, so that no block holds more than about twice `size` rows however hot its
     key is. Buckets of one row are left out, since they have nothing to compare.
+    count: a column that tells how many rows the bucket has, where that is known.
     """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    if count:
+        counted = rows.withColumn("_n", F.col(count)).where("_n > 1")
+    else:
+        counted = rows.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), keys)
     chunks = F.ceil(F.col("_n") / size).cast("int")
-    dealt = rows.join(counts, keys).withColumn("_k", chunks).withColumn("chunk", F.pmod(F.xxhash64(node), F.col("_k")).cast("int"))
+    dealt = counted.withColumn("_k", chunks).withColumn("chunk", F.pmod(F.xxhash64(node), F.col("_k")).cast("int"))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     return dealt.withColumn("a", F.least("chunk", "_o")).withColumn("b", F.greatest("chunk", "_o")).drop("_n", "_k", "_o")
 
